@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -19,6 +20,12 @@ ABBREVIATIONS = ("approx", "cf", "dr", r"e\.g", "eq", "etc", "fig", r"i\.e", "jr
 _HELD, _SPLIT = "\u0002", "\u0001"
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once. Within a function over an array, an expression from outside would be worked out
+    again for each of its items."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def estimate_tokens(c: Column) -> Column:
     """A token for each started four bytes of UTF-8."""
     return F.ceil(F.octet_length(c) / 4).cast("bigint")
@@ -44,12 +51,16 @@ def ngrams(tokens: Column, n: int) -> Column:
     """Runs of n tokens joined by blanks; fewer than n tokens have none."""
     if n == 1:
         return tokens
-    gram = lambda i: F.array_join(F.slice(tokens, i, n), " ")
-    return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), gram)).otherwise(F.array().cast("array<string>"))
+
+    def runs(t: Column) -> Column:
+        gram = lambda i: F.array_join(F.slice(t, i, n), " ")
+        return F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), gram)).otherwise(F.array().cast("array<string>"))
+
+    return let(tokens, runs)
 
 
 def ngrams_to_3(tokens: Column) -> Column:
-    return F.concat(tokens, ngrams(tokens, 2), ngrams(tokens, 3))
+    return let(tokens, lambda t: F.concat(t, ngrams(t, 2), ngrams(t, 3)))
 
 
 def sentences(c: Column, strict: bool = False) -> Column:
