@@ -87,7 +87,7 @@ class Index:
 
     def match(self, text: str) -> list[tuple[str, int, int, float]]:
         """(licence, first character, end, coverage), ascending. Of overlapping matches the one that covers
-        most words stays, then the better covered, the earlier, the template named first."""
+        most words stays, then the better covered, the one with more words exactly in place, the earlier, the template named first."""
         low = text.lower()
         if len(low) != len(text):  # characters whose lower case is longer; places would shift
             low = "".join(x if len(x := c.lower()) == 1 else c for c in text)
@@ -121,15 +121,23 @@ class Index:
             name, own, phrases = self.templates[t]
             low_at, high_at = max(0, shift - SLACK), min(len(ws), shift + len(own) + SLACK)
             there = ws[low_at:high_at]
-            hit = [p for p, w in enumerate(own) if 0 <= shift + p < len(ws) and (ws[shift + p] == w or w in ws[max(0, shift + p - SLACK) : shift + p + SLACK + 1])]
-            if len(hit) < COVERAGE * len(own):
+            exact, places = 0, []
+            for p, w in enumerate(own):
+                at_p = shift + p
+                if 0 <= at_p < len(ws) and ws[at_p] == w:
+                    exact += 1
+                    places.append(at_p)
+                else:  # the nearest one within SLACK, the earlier of two
+                    near = [j for j in range(max(0, at_p - SLACK), min(len(ws), at_p + SLACK + 1)) if ws[j] == w]
+                    if near:
+                        places.append(min(near, key=lambda j: (abs(j - at_p), j)))
+            if len(places) < COVERAGE * len(own):
                 continue
             joined = f" {' '.join(there)} "
             if all(f" {' '.join(p)} " in joined for p in phrases):
-                first, last = max(0, shift + hit[0]), min(len(ws) - 1, shift + hit[-1])
-                found.append((-len(hit), -len(hit) / len(own), first, t, last, name))
+                found.append((-len(places), -len(places) / len(own), -exact, min(places), t, max(places), name))
         out, taken = [], []
-        for hits, share, first, t, last, name in sorted(found):
+        for _, share, _, first, _, last, name in sorted(found):
             if all(last < a or first > b for a, b in taken):
                 taken.append((first, last))
                 out.append((name, spans[first][0], spans[last][1], round(-share, 6)))
