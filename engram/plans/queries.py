@@ -52,15 +52,15 @@ w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY
 
 
 def _scored(df: DataFrame) -> DataFrame:
-    return df.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+    return df.select("query_id", "id", "score", "rank")
 
 
-@query(f"WITH {_bm25_sql()} SELECT query_id, id, round(score, 6) AS score, rank FROM w")
+@query(f"WITH {_bm25_sql()} SELECT query_id, id, score, rank FROM w")
 def bm25_topk(spark, sf):
     return _scored(search.bm25(search.Index.counted(tables.documents(spark, sf)), tables.benchmark(spark, sf)))
 
 
-@query(f"WITH {_bm25_sql("WHERE scope = 'fr'")} SELECT query_id, id, round(score, 6) AS score, rank FROM w")
+@query(f"WITH {_bm25_sql("WHERE scope = 'fr'")} SELECT query_id, id, score, rank FROM w")
 def bm25_scoped(spark, sf):
     return _scored(search.bm25(search.Index.counted(tables.documents(spark, sf)), tables.benchmark(spark, sf), scope="fr"))
 
@@ -76,11 +76,11 @@ _DIST = "1 - list_dot_product({a}::DOUBLE[], {b}::DOUBLE[]) / (sqrt(list_dot_pro
 
 
 @query(f"""WITH p AS (SELECT q.vec_id AS query_id, x.vec_id AS id, round({_DIST.format(a='x.embedding', b='q.embedding')}, 9) AS distance FROM embeddings x CROSS JOIN embeddings q)
-SELECT query_id, id, CASE WHEN abs(distance) < 1e-6 THEN 0 ELSE round(distance, 6) END AS distance, round(greatest(1 - distance, 0), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM p QUALIFY rank <= 50""")
+SELECT query_id, id, CASE WHEN distance = 0 THEN 0 ELSE distance END AS distance, greatest(1 - distance, 0) AS score, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM p QUALIFY rank <= 50""")
 def vector_topk(spark, sf):
     rows = table(spark, sf, "embeddings")
     found = search.semantic(rows.select(F.col("vec_id").alias("id"), "embedding"), rows.select(F.col("vec_id").alias("query_id"), "embedding"))
-    return found.select("query_id", "id", F.when(F.abs("distance") < 1e-6, 0.0).otherwise(F.round("distance", 6)).alias("distance"), F.round("score", 6).alias("score"), "rank")
+    return found.select("query_id", "id", F.when(F.col("distance") == 0, 0.0).otherwise(F.col("distance")).alias("distance"), "score", "rank")
 
 
 _FUSED = f"""{_bm25_sql()}, vp AS (SELECT i.item_id AS query_id, cast(x.vec_id AS string) AS id, round({_DIST.format(a='x.embedding', b='q.embedding')}, 9) AS distance FROM embeddings x JOIN documents y ON y.doc_id = x.vec_id CROSS JOIN benchmark i JOIN embeddings q ON q.vec_id = i.item_id),
@@ -104,9 +104,9 @@ def _ranked(spark, sf):
     return search.rank(_fused(spark, sf), tables.documents(spark, sf), NOW)
 
 
-@query(f"WITH {_RANKED} SELECT query_id, id, round(score, 9) AS score, rank FROM ranked")
+@query(f"WITH {_RANKED} SELECT query_id, id, score, rank FROM ranked")
 def recency_rank(spark, sf):
-    return _ranked(spark, sf).select("query_id", "id", F.round("score", 9).alias("score"), "rank")
+    return _ranked(spark, sf).select("query_id", "id", "score", "rank")
 
 
 BUDGET = 2_000
@@ -389,7 +389,7 @@ def supersede(spark, sf):
 @query("""WITH RECURSIVE x AS (SELECT doc_id, source, list_filter(list_transform(string_split_regex(lower('Confirmed ' || text), '\\s+'), lambda w: regexp_replace(w, '[^a-z0-9]', '', 'g')), lambda w: w <> '') AS ws FROM documents),
 g AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i+1]))) AS gram FROM x), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
 o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL), e AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE shared / least(x.n, y.n) > 0.6),
-s AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), c AS (SELECT a AS node, a AS at FROM s UNION SELECT c.node, s.b FROM c JOIN s ON s.a = c.at), r AS (SELECT node, min(at) AS root FROM c GROUP BY 1),
+s AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), c AS (SELECT a AS node, a AS near FROM s UNION SELECT c.node, s.b FROM c JOIN s ON s.a = c.near), r AS (SELECT node, min(near) AS root FROM c GROUP BY 1),
 k AS (SELECT root FROM r JOIN documents d ON d.doc_id = r.node GROUP BY 1 HAVING count(DISTINCT source) >= 3) SELECT node AS doc_id FROM r WHERE root IN (SELECT root FROM k)""")
 def reinforcing(spark, sf):
     own = table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), F.concat(F.lit("Confirmed "), F.col("text")).alias("text"), F.col("source").alias("session_id"))

@@ -134,6 +134,13 @@ def test_passages(spark):
     assert passages.extract(e, terms.limit(0)).count() == 0 and passages.extract(e, terms, dedupe=False).count() == 4
 
 
+def test_many_terms_are_joined(spark):
+    e = spark.createDataFrame([("1", "Foxes run ab. An A\U0001f600 fox"), ("2", "ox"), ("3", "")], "entry_id string, content string")
+    terms = spark.createDataFrame([("fox",), ("foxes r",), ("A",), ("ox",), ("zz",), ("",)], "term string")
+    few, many = ({(r.entry_id, r.n, r.pos): r.terms for r in passages.sentence_hits(e, terms, most=n).collect()} for n in (100, 1))
+    assert few == many == {("1", 2, 0): ["A", "fox", "foxes r", "ox"], ("1", 2, 1): ["A", "fox", "ox"], ("2", 1, 0): ["ox"]}
+
+
 def kinds(spark, *rows):
     """(text, terms, session, timestamp)"""
     df = spark.createDataFrame([(i, t, w, s, n) for i, (t, w, s, n) in enumerate(rows)], "ord int, text string, triggering_terms array<string>, session_id string, timestamp bigint")
