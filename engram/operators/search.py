@@ -6,10 +6,15 @@ is always given, so that a result can be had again.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from engram.functions import scoring
 from engram.functions.lexicon import Scorer
@@ -101,13 +106,92 @@ def lexical(entries: DataFrame, queries: DataFrame, k: int = scoring.CANDIDATES,
     return words.unionByName(everything)
 
 
-def semantic(embeddings: DataFrame, queries: DataFrame, k: int = scoring.CANDIDATES, scope: str | None = None) -> DataFrame:
+#: Up to so many queries go to the workers as a matrix; more of them meet the entries block by block.
+SHARED_QUERIES = 4_096
+BLOCK = 32_768
+#: Numbers of a block of distances that are held at once.
+CELLS = 4_000_000
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(values, starts, sizes) of an array of number lists; null lists have size 0, null numbers are NaN."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.cumsum(sizes) - sizes, sizes
+
+
+def nearest(ids: pa.Array, vectors: pa.Array, query_ids: pa.Array, queries: pa.Array, k: int) -> pa.RecordBatch:
+    """(query_id, id, distance) of the ``k`` nearest vectors of each query, by cosine distance rounded to 9 places, then id. A distance to a
+    vector of another size, of length 0 or with nulls is null and comes last."""
+    values, starts, sizes = _lists(vectors)
+    q_values, q_starts, q_sizes = _lists(queries)
+    if isinstance(ids, pa.ChunkedArray):
+        ids, query_ids = ids.combine_chunks(), query_ids.combine_chunks()
+    n = len(ids)
+    by_id = np.empty(n, np.int64)
+    by_id[pc.sort_indices(ids).to_numpy()] = np.arange(n)
+    out_q, out_i, out_d = [], [], []
+    for dims in np.unique(q_sizes).tolist():
+        asked = np.flatnonzero(q_sizes == dims)
+        rows = np.flatnonzero(sizes == dims) if dims else np.zeros(0, np.int64)
+        unit = []
+        for flat, start, which in ((values, starts, rows), (q_values, q_starts, asked)):
+            m = flat[start[which][:, None] + np.arange(dims)]
+            norm = np.sqrt((m * m).sum(1))
+            with np.errstate(all="ignore"):
+                unit.append(m / np.where(norm > 0, norm, np.nan)[:, None])
+        step = max(1, CELLS // max(n, 1))
+        for low in range(0, len(asked), step):
+            part = asked[low : low + step]
+            dist = np.full((len(part), n), np.inf)
+            d = np.round(1 - unit[1][low : low + step] @ unit[0].T, 9)
+            dist[:, rows] = np.where(np.isfinite(d), d, np.inf)
+            cut = np.partition(dist, min(k, n) - 1, 1)[:, min(k, n) - 1]
+            r, c = np.nonzero(dist <= cut[:, None])
+            order = np.lexsort((by_id[c], dist[r, c], r))
+            r, c = r[order], c[order]
+            keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+            out_q.append(part[r[keep]])
+            out_i.append(c[keep])
+            out_d.append(dist[r[keep], c[keep]])
+    q, i, d = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((out_q, np.int64), (out_i, np.int64), (out_d, np.float64)))
+    return pa.RecordBatch.from_arrays([query_ids.take(pa.array(q)), ids.take(pa.array(i)), pa.array(d, mask=~np.isfinite(d))], names=["query_id", "id", "distance"])
+
+
+def semantic(embeddings: DataFrame, queries: DataFrame, k: int = scoring.CANDIDATES, scope: str | None = None, shared: int = SHARED_QUERIES, block: int = BLOCK) -> DataFrame:
     """(query_id, id, distance, score, rank) of the ``k`` embedded entries (id, embedding, scope) with the least cosine
     distance to a query's ``embedding``, compared with all. Ranked by distance, ties by id; a distance that can't be had
-    comes last; ``score`` is 1 - distance, 0 at least."""
-    asked = queries.where("embedding is not null").select("query_id", F.col("embedding").alias("q"))
-    rows = in_scope(embeddings, scope).where("embedding is not null").select("id", "embedding")
-    near = rows.crossJoin(asked).select("query_id", "id", F.round(scoring.cosine_distance(F.col("embedding"), F.col("q")), 9).alias("distance"))
+    comes last; ``score`` is 1 - distance, 0 at least.
+
+    Up to ``shared`` queries: they are broadcast, and entries are read once without a shuffle; of each batch only a query's ``k`` nearest go on.
+    Beyond that blocks of ``block`` entries and queries are multiplied.
+    """
+    asked = queries.where("embedding is not null").select("query_id", F.col("embedding").cast("array<double>").alias("q"))
+    rows = in_scope(embeddings, scope).where("embedding is not null").select("id", F.col("embedding").cast("array<double>").alias("v"))
+    out = T.StructType([T.StructField("query_id", asked.schema["query_id"].dataType), T.StructField("id", rows.schema["id"].dataType), T.StructField("distance", T.DoubleType())])
+    few = asked.limit(shared + 1).toArrow()
+    if few.num_rows <= shared:
+        sent = embeddings.sparkSession.sparkContext.broadcast(few)
+
+        def run(batches):
+            table = sent.value
+            for b in batches:
+                if b.num_rows and table.num_rows:
+                    yield nearest(b.column(0), b.column(1), table.column(0).combine_chunks(), table.column(1).combine_chunks(), k)
+
+        near = rows.mapInArrow(run, out)
+    else:
+        a, b = (max(1, math.ceil(df.count() / block)) for df in (rows, asked))
+        left = rows.withColumn("x", F.pmod(F.xxhash64("id"), F.lit(a)).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
+        right = asked.withColumn("y", F.pmod(F.xxhash64("query_id"), F.lit(b)).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(a - 1))))
+
+        def multiply(entries: pa.Table, wanted: pa.Table) -> pa.Table:
+            if not entries.num_rows or not wanted.num_rows:
+                return pa.Table.from_batches([nearest(entries.column("id").slice(0, 0), entries.column("v").slice(0, 0), wanted.column("query_id").slice(0, 0), wanted.column("q").slice(0, 0), k)])
+            return pa.Table.from_batches([nearest(entries.column("id"), entries.column("v"), wanted.column("query_id"), wanted.column("q"), k)])
+
+        near = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInArrow(multiply, out)
     ranked = top(near, k, ["query_id"], F.col("distance").asc_nulls_last(), F.col("id"))
     return ranked.withColumn("score", scoring.similarity(F.col("distance")))
 

@@ -58,6 +58,27 @@ def test_fusion_decay_boost_and_ties(spark):
     assert search.assemble(e, q.withColumn("text", F.lit("none")).drop("embedding"), 100, 1_000).count() == 0
 
 
+def test_vectors_shared_and_in_blocks(spark):
+    rng = random.Random(5)
+    vs = [(f"v{i}", None, [float(rng.randint(-2, 2)) for _ in range(3 if i % 9 else 2)] if i % 7 else None) for i in range(60)]
+    v = spark.createDataFrame([*vs, ("zero", None, [0.0, 0.0, 0.0])], "id string, scope string, embedding array<float>")
+    q = spark.createDataFrame([(i, [float(rng.randint(-2, 2)) for _ in range(2)] + [1.0]) for i in range(9)] + [(9, None), (10, [1.0, 1.0])], "query_id int, embedding array<float>")
+
+    def cosine(a, b):
+        norm = math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
+        return round(1 - sum(x * y for x, y in zip(a, b)) / norm, 9) if len(a) == len(b) and norm else None
+
+    want = {}
+    for r in q.where("embedding is not null").collect():
+        ds = sorted(((cosine(x.embedding, r.embedding), x.id) for x in v.where("embedding is not null").collect()), key=lambda p: (p[0] is None, p[0] or 0, p[1]))
+        want |= {(r.query_id, n): (i, d) for n, (d, i) in enumerate(ds[:8], 1)}
+    for shared, block in ((100, 1), (0, 13)):
+        got = {(r.query_id, r.rank): (r.id, r.distance) for r in search.semantic(v, q, 8, shared=shared, block=block).collect()}
+        assert {x: y[0] for x, y in got.items()} == {x: y[0] for x, y in want.items()}
+        assert all(got[x][1] == pytest.approx(want[x][1]) if want[x][1] is not None else got[x][1] is None for x in want)
+    assert search.semantic(v.limit(0), q).count() == 0 and search.semantic(v, q.limit(0)).count() == 0
+
+
 def walk(costs, budget):
     used, kept = 0, []
     for i, c in enumerate(costs):
