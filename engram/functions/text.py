@@ -37,9 +37,9 @@ def ascii_lower(c: Column) -> Column:
 
 def tokenize(c: Column, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
     """ASCII letters and digits of each blank-separated word, lower case, without stop words."""
-    words = F.transform(F.split(ascii_lower(c), "[ \\t\\n\\f\\r]+"), lambda w: F.regexp_replace(w, "[^a-z0-9]", ""))
-    stop = F.array(*[F.lit(w) for w in stop_words]) if stop_words else None
-    return F.filter(words, lambda w: (w != "") & (~F.array_contains(stop, w) if stop is not None else F.lit(True)))
+    # what is dropped lies within words, so it can go before the text is split
+    words = F.split(F.regexp_replace(ascii_lower(c), "[^a-z0-9 \\t\\n\\f\\r]+", ""), "[ \\t\\n\\f\\r]+")
+    return F.filter(words, lambda w: (w != "") & ~w.isin(*stop_words) if stop_words else w != "")
 
 
 def terms(c: Column) -> Column:
