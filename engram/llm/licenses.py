@@ -34,7 +34,7 @@ class Template:
 
 TEMPLATES = (
     Template("Apache-2.0", "Licensed under the Apache License, Version 2.0.", ("apache license version 2.0",)),
-    Template("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at', ("apache license version 2.0", "in compliance with the license")),
+    Template("Apache-2.0", 'Licensed under the Apache License, Version 2.0 ' '(the "License"); you may not use this file except ' 'in compliance with the License. You may obtain a copy of the License at', ("apache license version 2.0", "in compliance with the license")),
     Template("MIT", "Released under the MIT License.", ("mit license",)),
     Template("MIT", "Licensed under the MIT License.", ("mit license",)),
     Template("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction', ("permission is hereby granted free of charge", "deal in the software without restriction")),
