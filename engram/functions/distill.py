@@ -127,17 +127,17 @@ class ChunkingDistiller(Distiller):
         return merge(parts) if self.reduce == "merge" else self.inner.distill(render(parts))
 
 
-SCHEMA = {
-    "type": "object", "additionalProperties": False, "required": ["summary", "facts"],
-    "properties": {
-        "summary": {"type": "string"},
-        "facts": {"type": "array", "items": {"type": "object", "additionalProperties": False, "required": ["kind", "text"], "properties": {"kind": {"type": "string", "enum": list(FACT_KINDS)}, "text": {"type": "string"}}}},
-    },
-}
+def _object(**properties) -> dict:
+    return {"type": "object", "properties": properties, "required": list(properties), "additionalProperties": False}
+
+
+_TEXT = {"type": "string"}
+SCHEMA = _object(summary=_TEXT, facts={"items": _object(kind={**_TEXT, "enum": list(FACT_KINDS)}, text=_TEXT), "type": "array"})
 
 
 def response_format() -> dict:
-    return {"type": "json_schema", "json_schema": {"name": "memory", "strict": True, "schema": SCHEMA}}
+    form = "json_schema"
+    return {"type": form, form: dict(name="memory", schema=SCHEMA, strict=True)}
 
 
 def unfenced(text: str) -> str:
@@ -175,12 +175,13 @@ class ChatDistiller(Distiller):
         self.url, self.model, self.token, self.most, self.timeout = url.rstrip("/"), model, token, most, timeout
 
     def _ask(self, prompt: str, transcript: str, form: dict | None) -> str:
-        body = {"model": self.model, "messages": [{"role": "system", "content": prompt}, {"role": "user", "content": transcript}], **({"response_format": form} if form else {})}
+        body = {"model": self.model, "messages": [dict(role=r, content=c) for r, c in (("system", prompt), ("user", transcript))], **({"response_format": form} if form else {})}
         head = {"Content-Type": "application/json", **({"Authorization": f"Bearer {self.token}"} if self.token else {})}
         request = urllib.request.Request(f"{self.url}/chat/completions", json.dumps(body).encode(), head)
         with urllib.request.build_opener(_NoRedirect).open(request, timeout=self.timeout) as answer:
             try:
-                return json.load(answer)["choices"][0]["message"]["content"] or ""
+                first = json.load(answer)["choices"][0]
+                return first["message"]["content"] or ""
             except (ValueError, KeyError, IndexError, TypeError) as e:
                 raise DistillError(f"the server's answer has no content: {e}") from e
 
