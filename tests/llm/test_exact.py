@@ -251,14 +251,14 @@ def test_automaton_against_find(docs):
 def test_learned_lexicon_on_held_out_labels(spark, sf_dir, docs):
     import duckdb
 
-    folder = sf_dir.replace("sf0.001", "sf0.01")
+    folder = sf_dir.replace("sf0.001", "sf0.1")  # some 2,000 labelled texts; the few of the smaller tables show no stem often enough
     rows = duckdb.sql(f"SELECT d.doc_id, text, toxic FROM '{folder}/documents.parquet' d JOIN '{folder}/labels.parquet' l USING (doc_id) ORDER BY hash(d.doc_id)").fetchall()
     half = len(rows) // 2
     lex = toxicity.learn([(t, y) for _, t, y in rows[:half]])
     m = toxicity.Matcher(lex)
     flags = [(m.score(t)[0] >= lex.threshold, y) for _, t, y in rows[half:]]
-    assert sum(f and y for f, y in flags) >= 0.7 * sum(y for _, y in flags)
-    assert sum(f and not y for f, y in flags) <= 0.02 * sum(not y for _, y in flags)
+    assert sum(f and y for f, y in flags) >= 0.85 * sum(y for _, y in flags)
+    assert sum(f and not y for f, y in flags) <= 0.01 * sum(not y for _, y in flags)
 
 
 # 7
@@ -352,13 +352,18 @@ def test_near_duplicates_against_all_pairs(spark, sf_dir):
 # 10
 
 
-def test_secrets_against_every_expression(spark, sf_dir, docs):
+def test_secrets_against_every_expression(spark, docs):
+    h = "0123456789abcdef" * 5
+    planted = [f'token = "{h[:40]}"', f'Token:"{h[:64].upper()}" {h[:40]}', 'PASSWORD = "hunter22xx"', "AKIA" + "Z9" * 8, "xAKIA" + "Z9" * 8, "ghp_" + "a" * 36, "ghp_" + "a" * 35, "xoxb-" + "1" * 12, "sk_live_" + "q" * 20, "AIza" + "b" * 35,
+               "eyJ" + "c" * 12 + "." + "d" * 12 + "." + "e" * 12, "-----" + "BEGIN RSA PRIVATE KEY" + "-----", "ssh://me:pass@host.example", h[:40], h[:41]]
+    texts = {**docs, **{1_000_000 + i: f"été {t} {t} end" for i, t in enumerate(planted)}}
     want = set()
-    for k, t in docs.items():
+    for k, t in texts.items():
         for r in secrets.RULES:
             want |= {(k, r.name, n, m.start(), len(m[0])) for n, m in enumerate(re.finditer(r.pattern, t, re.ASCII), 1)}
-    got = [(r.doc_id, r.rule, r.match_no, r.start, r.n_chars) for r in queries()["op10_secrets"](spark, sf_dir).collect()]
-    assert set(got) == want and len(got) == len(want) > 0
+    d = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = [(r.doc_id, r.rule, r.match_no, r.start, r.n_chars) for r in secrets.scan(d).collect()]
+    assert set(got) == want and len(got) == len(want) and {w[1] for w in want} == {r.name for r in secrets.RULES}
 
 
 @pytest.mark.parametrize("pattern,least", [(r"abc", 1), (r"a[bc]d", 1), (r"(?:foo|bar)baz", 1), (r"x?abc+", 1), (r"[0-9a-f]{40}", 0), (r"a.c", 0), (r"(?i)SECRET\s*=", 1), (r"(ab|cd)?e", 0), (r"ab{2,3}c", 1)])
