@@ -349,6 +349,35 @@ def test_near_duplicates_against_all_pairs(spark, sf_dir):
     assert len(want) > 40
 
 
+def test_near_duplicates_are_found_without_regard_to_variants(spark):
+    rng = np.random.default_rng(5)
+    sigs, want = [], {}
+    for far in (28, 33, 38, 43, simhash.NEAR):
+        for _ in range(300):
+            bits = rng.integers(0, 2, simhash.BITS, dtype=np.uint8)
+            other = bits.copy()
+            other[rng.choice(simhash.BITS, far, replace=False)] ^= 1
+            want[len(sigs), len(sigs) + 1] = far
+            sigs += [np.packbits(bits).tobytes(), np.packbits(other).tobytes()]
+    d = spark.createDataFrame([(i, bytearray(s)) for i, s in enumerate(sigs)], "node bigint, sig binary")
+    found = [want[r.u, r.v] for r in simhash.edges(d).collect()]
+    assert [found.count(far) / 300 >= least for far, least in ((28, 0.99), (33, 0.99), (38, 0.98), (43, 0.92), (simhash.NEAR, 0.78))] == [True] * 5
+
+
+def test_edited_copies_are_near_duplicates(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(5000)]
+    rows = []
+    for i in range(300):
+        own = rng.sample(words, 120)
+        copy = list(own)
+        for at in rng.sample(range(120), 12):  # one word in ten
+            copy[at] = rng.choice(words)
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(copy))]
+    got = {(r.doc_id, r.duplicate_of) for r in simhash.duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got <= {(2 * i + 1, 2 * i) for i in range(300)} and len(got) > 0.85 * 300
+
+
 # 10
 
 
