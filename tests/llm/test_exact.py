@@ -1,5 +1,6 @@
 """Each operator against a plain version of itself."""
 
+import hashlib
 import itertools
 import random
 import re
@@ -395,6 +396,23 @@ def test_secrets_against_every_expression(spark, docs):
     assert set(got) == want and len(got) == len(want) and {w[1] for w in want} == {r.name for r in secrets.RULES}
 
 
+def test_long_secrets_are_found_whole(spark):
+    long = {
+        "assigned-token": ('token = "', "0a" * 2000, '"'),
+        "assigned-secret": ("password = '", "p%" * 2000, "'"),
+        "github-token": ("ghp_", "a1" * 2000, ""),
+        "slack-token": ("xoxb-", "1-a" * 2000, ""),
+        "stripe-key": ("sk_live_", "q7" * 2000, ""),
+        "web-token": ("eyJ" + "h" * 3000 + ".", "d_-" * 2000 + "." + "s" * 4000, ""),
+        "pem-private-key": ("-----" + "BEGIN ", "SOMETHING " * 5 + "EXTRAORDINARILY ", "PRIVATE KEY-----"),
+        "url-password": ("averylongscheme" + "://" + "user." * 40 + ":", "x%2F" * 1000, "@" + "host." * 40 + "example"),
+    }
+    texts = {i: (name, "".join(parts)) for i, (name, parts) in enumerate(long.items())}
+    d = spark.createDataFrame([(i, f"see {t} end") for i, (_, t) in texts.items()], "doc_id bigint, text string")
+    got = {(r.doc_id, r.rule, r.start, r.n_chars, r.fingerprint) for r in secrets.scan(d).collect()}
+    assert got == {(i, name, 4, len(t), hashlib.sha256(t.encode()).hexdigest()) for i, (name, t) in texts.items()}
+
+
 @pytest.mark.parametrize("pattern,least", [(r"abc", 1), (r"a[bc]d", 1), (r"(?:foo|bar)baz", 1), (r"x?abc+", 1), (r"[0-9a-f]{40}", 0), (r"a.c", 0), (r"(?i)SECRET\s*=", 1), (r"(ab|cd)?e", 0), (r"ab{2,3}c", 1)])
 def test_trigram_queries_hold_for_all_matches(pattern, least):
     query = secrets.trigram_query(pattern)
