@@ -69,8 +69,6 @@ def shape(word: str) -> str:
         return ""
     if not _SIGN.search(own):
         return "w"
-    if len(own) > 200:
-        own = own[:100] + own[-100:]  # the shape's features look at its ends and at signs below
     return _RUNS.sub(_run, own)
 
 
@@ -182,7 +180,7 @@ class Field:
     def __init__(self, vocabulary: dict[str, int], theta: list[np.ndarray]):
         self.vocabulary = vocabulary
         self.here, self.before, self.after, self.step, self.first = theta
-        self.by_shape: dict[str, int] = {}
+        self.by_shape: dict[str | tuple, int] = {}
         self.rows: list[np.ndarray] = []
         self.by_word: dict[str, int] = {}
         # 0: beyond the end; its scores are those of a plain word
@@ -193,9 +191,12 @@ class Field:
     def place_of(self, s: str) -> int:
         at = self.by_shape.get(s)
         if at is None:
-            at = self.by_shape[s] = len(self.rows)
             own = [self.vocabulary[f] for f in features(s) if f in self.vocabulary]
-            self.rows.append(np.stack([w[own].sum(0) for w in (self.here, self.before, self.after)]))
+            kept = s if len(s) < 200 else tuple(own)  # long shapes of equal features are one, they'd fill the memory
+            at = self.by_shape.get(kept)
+            if at is None:
+                at = self.by_shape[kept] = len(self.rows)
+                self.rows.append(np.stack([w[own].sum(0) for w in (self.here, self.before, self.after)]))
         return at
 
     def word(self, w: str) -> int:

@@ -49,6 +49,15 @@ def test_field_on_sentences_not_seen():
     assert hits / found > 0.95 and hits / wanted > 0.95
 
 
+def test_shapes_are_of_whole_words():
+    long = "x" * 300
+    assert pii.shape(f"{long}@{long}.com") == "a@a.a" == pii.shape("some@mail.com")
+    assert pii.shape(f"{long}-12345-{long}") == pii.shape("x-12345-x")
+    field = pii.default_field()
+    mail = f"{'some.' * 60}one@{'mail.' * 60}example.com"
+    assert pii.spans(field, [f"write to {mail} today"]) == [[(9, 9 + len(mail), "EMAIL")]]
+
+
 def test_viterbi_is_the_best_path():
     field, rng = pii.default_field(), np.random.default_rng(3)
     score = rng.normal(size=(4, 4, len(pii.LABELS)))
