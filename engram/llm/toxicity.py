@@ -1,13 +1,13 @@
 """Toxicity by a weighted lexicon.
 
 Texts are folded first: lower case, accents and look-alike letters of other scripts to plain
-letters, digits and signs inside words to the letters they stand for, invisible characters
-dropped. An Aho-Corasick automaton over the folded lexicon finds all entries at once; hits
+letters, digits beside letters and signs inside words to the letters they stand for, invisible characters
+dropped, white space to one blank. An Aho-Corasick automaton over the folded lexicon finds all entries at once; hits
 inside an exception phrase don't count. The score is the summed weight per 100 words.
 
 The lexicon has general English entries and stems learned from labelled documents: word
-beginnings that are far more frequent, per word, in toxic documents. The threshold is the one that
-separates the same documents best.
+beginnings that far more of the toxic documents have than of the others. The threshold is tuned on documents
+that the stems weren't learned from.
 """
 
 from __future__ import annotations
@@ -15,8 +15,9 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+import zlib
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,6 @@ from engram.llm.common import as_string, buffers, pick, place, positional, slice
 
 #: Labelled documents that are read to learn stems and the threshold, half of each class at most.
 LABELLED = 4_000
-#: Texts of fewer words count as having so many.
-LEAST_WORDS = 50
 _LOOK_ALIKE = {
     "а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "к": "k", "ӏ": "l", "м": "m", "н": "h", "о": "o", "р": "p", "ѕ": "s", "т": "t", "у": "y", "х": "x",
     "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ɑ": "a", "ɡ": "g", "ł": "l", "ø": "o", "đ": "d", "ß": "b",
@@ -37,6 +36,7 @@ _LOOK_ALIKE = {
 }
 _SIGNS = {"@": "a", "$": "s", "!": "i", "|": "i", "€": "e", "+": "t"}
 _SIGN = re.compile(r"(?<=[^\W_])[@$!|€+](?=[^\W_])")
+_NUMBER = re.compile(r"(?<![^\W_])\d+(?![^\W_])")
 
 
 class _Fold(dict):
@@ -54,6 +54,9 @@ _FOLD = _Fold()
 
 
 def fold(text: str) -> str:
+    text = " ".join(text.split())
+    if any(d in text for d in "01345789"):
+        text = _NUMBER.sub(lambda m: "#" * len(m[0]), text)  # numbers of their own stand for no letters
     if not text.isascii() or any(s in text for s in "@$!|+"):
         text = _SIGN.sub(lambda m: _SIGNS[m[0]], text)
     return text.lower().translate(_FOLD)
@@ -62,12 +65,13 @@ def fold(text: str) -> str:
 @dataclass(frozen=True)
 class Lexicon:
     """``words`` match whole words, ``stems`` beginnings of words: pairs of (entry, weight). A text is toxic from
-    ``threshold`` on."""
+    ``threshold`` on. Texts of fewer than ``least_words`` words count as having so many, so that one mild word doesn't condemn a short one."""
 
     words: tuple[tuple[str, float], ...]
     stems: tuple[tuple[str, float], ...] = ()
     exceptions: tuple[str, ...] = ()
     threshold: float = 2.0
+    least_words: int = 50
 
 
 _MILD = "annoying dumb fool foolish jerk lame nasty pest rubbish sucks ugly"
@@ -92,6 +96,7 @@ class Matcher:
         for x in lexicon.exceptions:
             if fold(x):
                 entries.setdefault(fold(x), [0.0, 0.0, False])[2] = True
+        self.least_words = lexicon.least_words
         self.automaton = ahocorasick.Automaton()
         for e, (word, stem, exception) in entries.items():
             self.automaton.add_word(e, (len(e), word, stem, exception))
@@ -123,53 +128,106 @@ class Matcher:
         """(score, hits, words)."""
         own = self.hits(text)
         n = len(text.split())
-        return 100.0 * sum(w for *_, w in own) / max(n, LEAST_WORDS), len(own), n
+        return 100.0 * sum(w for *_, w in own) / max(n, self.least_words), len(own), n
 
 
-def learn(rows: list[tuple[str, int]], base: Lexicon = GENERAL, shortest: int = 3, longest: int = 8, ratio: float = 10.0, texts: int = 8) -> Lexicon:
-    """Stems and threshold from (text, 0 or 1) rows. Word beginnings that occur in ``texts`` toxic texts at least and
-    are ``ratio`` times as frequent per word there as in the others; of nested ones the one with the most evidence.
-    The threshold is the least of
-    those whose F1 is within 0.002 of the best. Without both classes the lexicon stays as it is."""
+class _Copies:
+    """Tells sets of words of which one before had the same least hashes in half of PERMUTATIONS orders: those of copies of one text, whose
+    words would else count as so many witnesses."""
+
+    PERMUTATIONS = 16
+
+    def __init__(self) -> None:
+        rng = np.random.default_rng(5)
+        self.factors = rng.integers(1 << 62, size=(self.PERMUTATIONS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.seen: dict[tuple[int, int], list[int]] = {}
+        self.number = 0
+
+    def has(self, words: set[str]) -> bool:
+        """Whether such a set was given before; remembers this one if not."""
+        own = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words] or [0], np.uint64)
+        mixed = (own ^ (own << np.uint64(32))) * self.factors
+        least = list(enumerate((mixed ^ (mixed >> np.uint64(31))).min(1).tolist()))
+        if any(n >= self.PERMUTATIONS // 2 for n in Counter(i for x in least for i in self.seen.get(x, ())).values()):
+            return True
+        for x in least:
+            self.seen.setdefault(x, []).append(self.number)
+        self.number += 1
+        return False
+
+
+class _Evidence:
+    """Of labelled texts: how many of each class have each word beginning. A text counts once, however often it has one."""
+
+    def __init__(self) -> None:
+        self.held, self.number = (Counter(), Counter()), [0, 0]
+
+    def add(self, words: set[str], y: int, shortest: int, longest: int) -> None:
+        self.held[y].update({w[:k] for w in words for k in range(shortest, min(longest, len(w)) + 1)})
+        self.number[y] += 1
+
+    def __add__(self, other: _Evidence) -> _Evidence:
+        out = _Evidence()
+        out.held = (self.held[0] + other.held[0], self.held[1] + other.held[1])
+        out.number = [a + b for a, b in zip(self.number, other.number)]
+        return out
+
+    def stems(self, shortest: int, longest: int, ratio: float, texts: int, sure: float) -> tuple[tuple[str, float], ...]:
+        """Word beginnings and weights: see ``learn``."""
+        scored = []
+        for p, d in self.held[1].items():
+            if d >= texts:
+                other = self.held[0][p]
+                lift = math.log((d + 0.5) / (self.number[1] + 1)) - math.log((other + 0.5) / (self.number[0] + 1))
+                if lift - sure * math.sqrt(1 / (d + 0.5) + 1 / (other + 0.5)) >= math.log(ratio):
+                    scored.append((-d * lift, len(p), p, lift))
+        stems: dict[str, float] = {}
+        for _, _, p, lift in sorted(scored):
+            if not any(p.startswith(s) or s.startswith(p) for s in stems):
+                stems[p] = round(lift, 3)
+        return tuple(sorted(stems.items()))
+
+
+def learn(
+    rows: list[tuple[str, int]], base: Lexicon = GENERAL, shares: tuple[int, int] | None = None, shortest: int = 3, longest: int = 8,
+    ratio: float = 4.0, texts: int = 8, sure: float = 1.64, alarms: float = 0.002,
+) -> Lexicon:
+    """Stems and threshold from (text, 0 or 1) rows.
+
+    Stems are word beginnings of ``shortest`` to ``longest`` letters that are in ``texts`` toxic texts at least and whose share of toxic texts is, with ``sure`` standard
+    errors to spare, ``ratio`` times that of the others; of nested ones the one with the most evidence. The threshold is tuned on texts from which no stem was learned: stems of one half of the rows score the other half.
+    It is the one with the best F1 among those that call at most ``alarms`` of the clean texts toxic, midway to the next
+    score below; rows weigh as their class does among ``shares`` (clean, toxic) rows, so that a balanced sample
+    is judged as the whole. Near copies (see ``_Copies``) count once. Without both classes the lexicon stays as it is."""
     rows = [(t, y) for t, y in rows if t and y in (0, 1)]
     if len({y for _, y in rows}) < 2:
         return base
-    general = Matcher(base)
-    count, total, docs = (Counter(), Counter()), [0, 0], Counter()
-    for text, y in rows:
-        words = Counter(re.findall(r"[^\W_]+", fold(text)))
-        total[y] += sum(words.values())
-        own: Counter = Counter()
-        for w, n in words.items():
-            if general.hits(w):
-                continue
-            for k in range(shortest, min(longest, len(w)) + 1):
-                own[w[:k]] += n
-        # a word that is repeated without end is one piece of evidence, not many
-        count[y].update({p: min(n, 20) for p, n in own.items()})
-        if y:
-            docs.update(own.keys())
-    scored = []
-    for p, d in docs.items():
-        if d >= texts:
-            lift = math.log((count[1][p] + 0.5) / (total[1] + 1)) - math.log((count[0][p] + 0.5) / (total[0] + 1))
-            if lift >= math.log(ratio):
-                scored.append((-d * lift, len(p), p, lift))
-    stems: dict[str, float] = {}
-    for _, _, p, lift in sorted(scored):
-        if not any(p.startswith(s) or s.startswith(p) for s in stems):
-            stems[p] = round(min(lift, 4.0), 3)
-    own = Lexicon(base.words, tuple(sorted(stems.items())), base.exceptions, base.threshold)
-    matcher = Matcher(own)
-    points = sorted(((matcher.score(t)[0], y) for t, y in rows), key=lambda x: (-x[0], -x[1]))
-    positive, found, hit = sum(y for _, y in rows), [(0.0, base.threshold)], 0
+    general, known, seen, copies = Matcher(base), {}, [0, 0], (_Copies(), _Copies())
+    halves: tuple[list, list] = ([], [])
+    evidence = (_Evidence(), _Evidence())
+    for text, y in rows:  # each class is shared out evenly
+        words = set(re.findall(r"[^\W_]+", fold(text)))
+        if copies[y].has(words):
+            continue
+        half = seen[y] % 2
+        seen[y] += 1
+        known.update((w, not general.hits(w)) for w in words if w not in known)
+        evidence[half].add({w for w in words if known[w]}, y, shortest, longest)
+        halves[half].append((text, y))
+    how, points = (shortest, longest, ratio, texts, sure), []
+    for own, other in zip(halves, evidence[::-1]):
+        matcher = Matcher(replace(base, stems=other.stems(*how)))
+        points += [(matcher.score(t)[0], y) for t, y in own]
+    weight = [s / n for s, n in zip(shares or seen, seen)]
+    points.sort(key=lambda x: (-x[0], -x[1]))
+    all_toxic, hit, false, found = weight[1] * seen[1], 0.0, 0.0, []
     for i, (s, y) in enumerate(points):
-        hit += y
+        hit, false = hit + weight[1] * y, false + weight[0] * (1 - y)
         after = points[i + 1][0] if i + 1 < len(points) else 0.0
-        if s > after and s > 0:
-            found.append((2 * hit / (positive + i + 1), (s + after) / 2))
-    best = min(t for f, t in found if f >= max(found)[0] - 0.002)
-    return Lexicon(own.words, own.stems, own.exceptions, round(best, 6))
+        if s > after and false <= alarms * weight[0] * seen[0]:
+            found.append((round(2 * hit / (all_toxic + hit + false), 3), (s + after) / 2))
+    threshold = max(found)[1] if found else max([base.threshold, *(s for s, y in points if not y)])
+    return replace(base, stems=(evidence[0] + evidence[1]).stems(*how), threshold=round(threshold, 6))
 
 
 def learned(docs: DataFrame, labels: DataFrame | None, most: int = LABELLED) -> Lexicon:
@@ -179,6 +237,7 @@ def learned(docs: DataFrame, labels: DataFrame | None, most: int = LABELLED) ->
         return GENERAL
     own = pick(labels, "doc_id", "toxic").where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64(F.col("doc_id").cast("string"))
+    shares = {int(r.toxic): r["count"] for r in own.groupBy("toxic").count().collect()}
     chosen = None
     for y in (0, 1):
         half = own.where(F.col("toxic") == y).orderBy(order, "doc_id").limit(most // 2)
@@ -188,7 +247,7 @@ def learned(docs: DataFrame, labels: DataFrame | None, most: int = LABELLED) ->
         return GENERAL
     texts = pick(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi")  # most / 2 ids of each class
     rows = {r.doc_id: r.text for r in texts.groupBy("doc_id").agg(F.min("text").alias("text")).collect()}
-    return learn([(rows[i], ids[i]) for i in sorted(rows)])
+    return learn([(rows[i], ids[i]) for i in sorted(rows)], shares=(shares.get(0, 0), shares.get(1, 0)))
 
 
 _MATCHERS: dict = {}

@@ -238,24 +238,59 @@ def test_folding_and_exceptions():
     hit = lambda t: [w for *_, w in m.hits(t)]
     assert hit("You 1d10t") == hit("ιdіоt") == hit("ÍDIÓT") == hit("i​diot") == hit("ＩＤＩＯＴ") == [4.0]
     assert hit("idiots") == hit("nonidiot") == [] and hit("vermin") == [2.0]
+    assert hit("a scum\nbrush") == hit("a scum \t brush") == [] and hit("455 1d10t 3") == [4.0]
     assert hit("a scum brush") == [] and hit("a scum brush, scum") == [4.0] and hit("scum brushes") == [4.0]
 
 
+def plain_hits(text, lex):
+    s = toxicity.fold(text)
+    starts = lambda e: [i for i in range(len(s)) if s.startswith(e, i) and not (i and s[i - 1].isalnum())]
+    places = lambda e: [i for i in starts(e) if not s[i + len(e) : i + len(e) + 1].isalnum()]
+    exempt = [(i, i + len(toxicity.fold(e))) for e in lex.exceptions for i in places(toxicity.fold(e))]
+    best: dict = {}
+    for entries, where in ((lex.words, places), (lex.stems, starts)):
+        for w, weight in entries:
+            for i in where(toxicity.fold(w)):
+                if weight > best.get(i, (0, 0))[1]:
+                    best[i] = (i + len(toxicity.fold(w)), weight)
+    return [(a, b, w) for a, (b, w) in sorted(best.items()) if not any(p <= a and b <= q for p, q in exempt)]
+
+
 def test_automaton_against_find(docs):
     lex = toxicity.GENERAL
     m = toxicity.Matcher(lex)
     rng = random.Random(1)
     pool = [w for w, _ in lex.words] + list(lex.exceptions) + ["table", "of", "trash can"]
     for text in [" ".join(rng.choices(pool, k=30)) for _ in range(40)] + list(docs.values())[:40]:
-        s = toxicity.fold(text)
-        places = lambda e: [i for i in range(len(s)) if s.startswith(e, i) and not (i and s[i - 1].isalnum()) and not s[i + len(e) : i + len(e) + 1].isalnum()]  # noqa: E731, B023
-        exempt = [(i, i + len(toxicity.fold(e))) for e in lex.exceptions for i in places(toxicity.fold(e))]
-        best: dict = {}
-        for w, weight in lex.words:
-            for i in places(toxicity.fold(w)):
-                if weight > best.get(i, (0, 0))[1]:
-                    best[i] = (i + len(toxicity.fold(w)), weight)
-        assert m.hits(text) == [(a, b, w) for a, (b, w) in sorted(best.items()) if not any(p <= a and b <= q for p, q in exempt)]
+        assert m.hits(text) == plain_hits(text, lex)
+
+
+def test_the_toxicity_query_against_find(spark, sf_dir, docs):
+    lex = toxicity.learned(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    want = {}
+    for k, t in docs.items():
+        own, n = plain_hits(t or "", lex), len((t or "").split())
+        score = 100 * sum(w for *_, w in own) / max(n, lex.least_words)
+        if own and score >= lex.threshold:
+            want[k] = (round(score, 9), len(own), n)
+    assert want and {r.doc_id: (round(r.score, 9), r.hits, r.words) for r in queries()["op6_toxicity"](spark, sf_dir).collect()} == want
+
+
+def test_labels_of_any_kind(spark):
+    docs = spark.createDataFrame([(i, f"word{i} text") for i in range(9)] + [(None, "x"), (3, None)], "doc_id bigint, text string")
+    labels = lambda *rows: spark.createDataFrame(list(rows), "doc_id bigint, toxic int")
+    for l in (labels(), labels((1, None), (None, 1)), labels((1, 0), (2, 0)), labels((1, 1)), labels((77, 1), (78, 0))):
+        assert toxicity.learned(docs, l) == toxicity.GENERAL
+    # of labels that contradict each other the greatest counts
+    assert toxicity.learned(docs, labels((1, 0), (1, 1), (2, 0), (2, 7))).stems == ()
+
+
+def test_copies_count_once():
+    toxic = [f"{w} nastyword" for w in ("alpha", "beta", "gamma")]
+    rows = [(" ".join(f"copied{i}" for i in range(40)), 1)] * 50 + [(t, 1) for t in toxic] + [(f"plain{i} text{i} here{i}", 0) for i in range(60)]
+    assert toxicity.learn(rows).stems == ()
+    varied = [(f"vermin{chr(97 + i % 26)}{chr(97 + i // 26)} and{i} other{i}", 1) for i in range(60)]
+    assert any("vermin".startswith(s) or s.startswith("vermin") for s, _ in toxicity.learn(varied + rows).stems)
 
 
 def test_learned_lexicon_on_held_out_labels(spark, sf_dir, docs):
@@ -267,8 +302,8 @@ def test_learned_lexicon_on_held_out_labels(spark, sf_dir, docs):
     lex = toxicity.learn([(t, y) for _, t, y in rows[:half]])
     m = toxicity.Matcher(lex)
     flags = [(m.score(t)[0] >= lex.threshold, y) for _, t, y in rows[half:]]
-    assert sum(f and y for f, y in flags) >= 0.85 * sum(y for _, y in flags)
-    assert sum(f and not y for f, y in flags) <= 0.01 * sum(not y for _, y in flags)
+    assert sum(f and y for f, y in flags) >= 0.88 * sum(y for _, y in flags)
+    assert sum(f and not y for f, y in flags) <= 0.003 * sum(not y for _, y in flags)
 
 
 # 7
