@@ -1,229 +1,342 @@
 """Approximate nearest neighbours by a forest of random-projection trees.
 
-Each tree splits the unit sphere by random directions at the median of a bounded sample of vectors; the
-forest is broadcast. Every vector is filed under one leaf of each tree. A query descends
-all trees with one shared priority queue: the leaf whose path was crossed by the least
-margin comes first, whichever tree it is in, until the leaves taken hold a given share of the
-vectors. As priorities never rise on the way down, that order is the order of the leaves' own
-priorities, so it is computed for a batch of queries at once. Queries meet the leaves' members by
-a join; all candidates are ranked by their exact distance.
+Each tree splits the unit sphere at medians, by one random direction a level. The medians come from a bounded sample of
+vectors, so the forest is small enough to broadcast; every vector is filed under one leaf of each tree. A query
+descends all trees with one shared priority queue: the branch that was crossed by the least margin comes
+first, whichever tree it is in, until the leaves taken hold ``enough`` members. Queries meet the leaves'
+members by a join, and all candidates are ranked by their exact distance.
+
+``enough`` is measured: the true neighbours of PROBES vectors are found by one pass over all rows, and the queue goes as far as
+it must to meet the wanted share of them. Vectors with clusters need as many members whatever their number; those
+without any structure need a share of all, as there is nothing that an index could use.
+
+Rows with equal vectors are one member with the k + 1 least of their ids, as no others can be among k nearest. Leaves with many members
+are cut in chunks and leaves that many queries visit in blocks, so no task holds more than MEMBERS x QUERIES.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from engram.llm.common import cut, pick
+from engram.llm.common import cut, pick, ragged
 
-#: Vectors that the trees are made from; their shape needs no more, and leaves' sizes are counted over all.
-SAMPLE = 20_000
+TREES, LEAF = 8, 256
+#: Vectors that the splits are made from, about PER_LEAF for a leaf: trees of SAMPLE / PER_LEAF leaves at most, which grow beyond LEAF
+#: from 4 million vectors on. All vectors are filed and counted.
+SAMPLE, PER_LEAF = 131_072, 8
+#: Vectors whose true neighbours are found, and the share of these that the search must meet.
+PROBES, RECALL = 64, 0.97
+#: Members and visits of queries that one task holds.
+MEMBERS, QUERIES = 16_384, 16_384
+#: Distances are rounded to so many digits: nearer ones are equal.
+DIGITS = 12
 
 
 class Forest:
-    """Complete binary trees of one depth. ``directions`` (trees, nodes, dims) and ``splits`` (trees, nodes), nodes in
-    breadth-first order; the left child of i is 2 i + 1."""
+    """Complete binary trees of one depth, nodes in breadth-first order; the left child of i is 2 i + 1. ``directions`` (trees,
+    depth, dims), ``splits`` (trees, nodes). Leaves are numbered through all trees."""
 
     def __init__(self, directions: np.ndarray, splits: np.ndarray):
         self.directions, self.splits = directions, splits
-        self.trees, self.nodes, self.dims = directions.shape
-        self.leaves = self.nodes + 1
+        self.trees, self.depth, self.dims = directions.shape
+        self.leaves = splits.shape[1] + 1
+        self._lists: list[list[float]] | None = None
 
     @classmethod
     def build(cls, sample: np.ndarray, trees: int, depth: int, seed: int = 11) -> Forest:
         rng = np.random.default_rng(seed)
-        dims = sample.shape[1]
-        directions = rng.standard_normal((trees, 2**depth - 1, dims)).astype(np.float32)
-        splits = np.zeros((trees, 2**depth - 1), np.float32)
+        directions = rng.standard_normal((trees, depth, sample.shape[1]))
+        directions /= np.linalg.norm(directions, axis=2, keepdims=True)
+        splits = np.zeros((trees, 2**depth - 1))
         for t in range(trees):
-            rows = [np.arange(len(sample))]
-            for i in range(2**depth - 1):
-                own = sample[rows[i]]
-                if len(own) >= 2:  # the direction between two members, as in trees that follow the data
-                    a, b = own[rng.integers(len(own))], own[rng.integers(len(own))]
-                    if not np.array_equal(a, b):
-                        directions[t, i] = a - b
-                directions[t, i] /= max(float(np.linalg.norm(directions[t, i])), 1e-12)
-                p = own @ directions[t, i]
-                splits[t, i] = np.median(p) if len(p) else 0.0
-                rows += [rows[i][p < splits[t, i]], rows[i][p >= splits[t, i]]]
+            p, node = sample @ directions[t].T, np.zeros(len(sample), np.int64)
+            for level in range(depth):
+                low = 2**level - 1
+                order = np.lexsort((p[:, level], node))
+                ends = np.searchsorted(node[order], low + np.arange(2**level + 1))
+                some = np.flatnonzero(np.diff(ends))
+                splits[t, low + some] = p[order[(ends[some] + ends[some + 1]) // 2], level]
+                node = 2 * node + 1 + (p[:, level] >= splits[t, node])
         return cls(directions, splits)
 
-    def priorities(self, x: np.ndarray) -> np.ndarray:
-        """(n, trees, leaves): the least signed margin on each leaf's path; positive only for the vector's own leaf."""
-        margin = np.einsum("nd,tid->nti", x, self.directions, optimize=True) - self.splits
-        best = np.full((len(x), self.trees, 1), np.inf, np.float32)
-        low = 0
-        while low < self.nodes:
-            own = margin[:, :, low : low + best.shape[2]]
-            best = np.stack([np.minimum(best, -own), np.minimum(best, own)], -1).reshape(len(x), self.trees, -1)
-            low += own.shape[2]
-        return best
+    def project(self, x: np.ndarray) -> np.ndarray:
+        """(n, trees, depth)."""
+        return (x @ self.directions.reshape(-1, self.dims).T).reshape(len(x), self.trees, self.depth)
 
     def leaf(self, x: np.ndarray) -> np.ndarray:
-        """(n, trees): each vector's leaf; one on a split goes right."""
-        at = np.zeros((len(x), self.trees), np.int64)
-        tree = np.arange(self.trees)
-        while at[0, 0] < self.nodes if len(at) else False:
-            m = np.einsum("nd,ntd->nt", x, self.directions[tree, at]) - self.splits[tree, at]
-            at = 2 * at + 1 + (m >= 0)
-        return at - self.nodes
-
-    def taken(self, x: np.ndarray, sizes: np.ndarray, enough: float) -> np.ndarray:
-        """(n, trees x leaves) booleans: the leaves that the shared queue gives until they hold ``enough`` members."""
-        p = self.priorities(x).reshape(len(x), -1)
-        order = np.argsort(-p, 1, kind="stable")
-        own = sizes.reshape(-1)[order]
-        take = (np.cumsum(own, 1) - own < enough) & (own > 0)
-        out = np.zeros_like(take)
-        np.put_along_axis(out, order, take, 1)
-        return out
-
-
-#: TREES trees with leaves of about LEAF vectors, as far as SAMPLE vectors can shape them (DEPTH levels at most). SHARE: the leaves taken for a
-#: query hold so many members, as a share of all vectors (members found in several trees count again).
-TREES, LEAF, DEPTH, SHARE = 8, 800, 9, 1.0
-#: Members and queries that one task holds.
-MEMBERS, QUERIES = 65_536, 65_536
-
-
-def _matrix(column: pa.Array, dims: int) -> np.ndarray:
+        """(n, trees): each vector's leaves; one on a split goes right."""
+        p = self.project(x)
+        at, tree = np.zeros((len(x), self.trees), np.int64), np.arange(self.trees)
+        for level in range(self.depth):
+            at = 2 * at + 1 + (p[:, :, level] >= self.splits[tree, at])
+        return at - (self.leaves - 1) + tree * self.leaves
+
+    def margins(self, p: np.ndarray) -> np.ndarray:
+        """For one vector's projections the greatest margin crossed on the way to each leaf, 0 to its own."""
+        worst = np.zeros((self.trees, 1))
+        for level in range(self.depth):
+            low = 2**level - 1
+            m = p[:, level, None] - self.splits[:, low : 2 * low + 1]
+            worst = np.stack([np.maximum(worst, m), np.maximum(worst, -m)], -1).reshape(self.trees, -1)
+        return worst.ravel()
+
+    def search(self, p: np.ndarray, sizes: np.ndarray, enough: int) -> list[int]:
+        """Leaves in the order of the shared queue, until they hold ``enough`` members. ``p``: one vector's projections."""
+        if self._lists is None:
+            self._lists = self.splits.tolist()
+        splits, depth, base, rows = self._lists, self.depth, self.leaves - 1, p.tolist()
+        queue: list[tuple[float, int, int, int]] = [(0.0, t, 0, 0) for t in range(self.trees)]
+        found: list[int] = []
+        held = 0
+        while queue and held < enough:
+            crossed, t, level, node = heapq.heappop(queue)
+            row, own = rows[t], splits[t]
+            while level < depth:
+                m = row[level] - own[node]
+                level += 1
+                right = m >= 0
+                heapq.heappush(queue, (max(crossed, abs(m)), t, level, 2 * node + 2 - right))
+                node = 2 * node + 1 + right
+            leaf = node - base + t * self.leaves
+            if sizes[leaf]:
+                found.append(leaf)
+                held += sizes[leaf]
+        return found
+
+
+def _units(column: pa.Array, dims: int) -> np.ndarray:
+    """Rows of length 1; scaled by the greatest number first, so that nothing overflows."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
+    x = x / np.abs(x).max(1, keepdims=True, initial=0)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
 def clean(vectors: DataFrame, key: str, vector: str) -> tuple[DataFrame, int]:
-    """(id bigint, v array<double> of length 1), one row an id, and the number of dimensions."""
-    own = pick(vectors, key, vector).toDF("id", "v").select(F.col("id").cast("bigint"), F.col("v").cast("array<double>"))
-    own = own.where("id is not null and v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < 1e150)").withColumn("norm", F.expr("sqrt(aggregate(v, 0d, (s, x) -> s + x * x))")).where("norm > 1e-150")
-    own = own.groupBy("id").agg(F.min(F.struct("v", "norm")).alias("m")).select("id", "m.v", "m.norm")
-    own = cut(own.select("id", F.expr("transform(v, x -> x / norm)").alias("v")))
-    by_dims = [(-r["count"], r.n) for r in own.groupBy(F.size("v").alias("n")).count().collect()]
-    dims = min(by_dims)[1] if by_dims else 0
+    """(id, v), one row an id, of the vectors that have a direction and the most frequent number of dimensions; and that number."""
+    own = pick(vectors, key, vector).toDF("id", "v")
+    if own.schema["v"].dataType.elementType != T.FloatType():
+        own = own.withColumn("v", F.col("v").cast("array<double>"))
+    own = own.where("id is not null and v is not null and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x != 0)")
+    own = cut(own.groupBy("id").agg(F.min("v").alias("v")))
+    first = own.groupBy(F.size("v").alias("dims")).count().orderBy(F.desc("count"), "dims").first()
+    dims = first.dims if first else 0
     return own.where(F.size("v") == dims), dims
 
 
-def neighbours(vectors: DataFrame, k: int = 10, trees: int = TREES, leaf: int = LEAF, share: float = SHARE, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(``key``, ``rank`` from 1, ``neighbour``, ``distance`` 1 - cosine) of the ``k`` nearest other rows of every row.
+def _places(members: np.ndarray, visits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each leaf its group (-1 if no query visits it), in how many chunks its members go and in how many blocks its queries. Small leaves go
+    together as long as they stay within MEMBERS and QUERIES."""
+    chunks, blocks = -(-members // MEMBERS), -(-visits // QUERIES)
+    group, number, held, asked = np.full(len(members), -1, np.int32), 0, 0, 0
+    for i in np.flatnonzero((members > 0) & (visits > 0)).tolist():
+        big = chunks[i] > 1 or blocks[i] > 1
+        if (held or asked) and (big or held + members[i] > MEMBERS or asked + visits[i] > QUERIES):
+            number, held, asked = number + 1, 0, 0
+        group[i] = number
+        held, asked = held + int(members[i]), asked + int(visits[i])
+        if big:
+            number, held, asked = number + 1, 0, 0
+    return group, chunks, blocks
+
+
+def _nearest(asked: pa.Table, members: pa.Table, dims: int, most: int, kind: pa.DataType) -> pa.Table:
+    """The ``most`` nearest of the members in the leaves that each query visits, by distance and id."""
+    struct = pa.struct([("distance", pa.float64()), ("neighbour", kind)])
+    if not asked.num_rows or not members.num_rows:
+        return pa.table({"qid": pa.array([], kind), "found": pa.array([], pa.list_(struct))})
+    q, m = _units(asked.column("v"), dims), _units(members.column("v"), dims)
+    ids = members.column("ids").combine_chunks()
+    flat_ids = ids.flatten()
+    _, code = np.unique(flat_ids.to_numpy(zero_copy_only=False), return_inverse=True)  # the ids' order, of whatever type
+    first, held = ids.offsets.to_numpy()[:-1].astype(np.int64) - ids.offsets[0].as_py(), np.diff(ids.offsets.to_numpy()).astype(np.int64)
+    leaf = members.column("leaf").to_numpy()
+    by_leaf = np.argsort(leaf, kind="stable")
+    lists = asked.column("leaves").combine_chunks()
+    wanted = lists.flatten().to_numpy()
+    row = np.repeat(np.arange(len(q)), np.diff(lists.offsets.to_numpy()))
+    by_wanted = np.argsort(wanted, kind="stable")
+    some, starts = np.unique(wanted[by_wanted], return_index=True)
+    ends = np.append(starts[1:], len(wanted))
+
+    def best(r: np.ndarray, c: np.ndarray, d: np.ndarray, n: int = most) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.lexsort((code[first[c]], d, r))
+        r, c, d = r[order], c[order], d[order]
+        again = np.zeros(len(r), bool)  # a member seen in several trees
+        again[1:] = (r[1:] == r[:-1]) & (code[first[c[1:]]] == code[first[c[:-1]]])
+        r, c, d = r[~again], c[~again], d[~again]
+        keep = np.arange(len(r)) - np.searchsorted(r, r) < n
+        return r[keep], c[keep], d[keep]
+
+    parts = []
+    for number, a, b in zip(some.tolist(), starts.tolist(), ends.tolist()):
+        own = by_leaf[np.searchsorted(leaf[by_leaf], number) : np.searchsorted(leaf[by_leaf], number, "right")]
+        rows = row[by_wanted[a:b]]
+        for low in range(0, len(rows), 512):
+            r = rows[low : low + 512]
+            for at in range(0, len(own), 4096):
+                c = own[at : at + 4096]
+                s = q[r] @ m[c].T
+                if len(c) > most:
+                    # all that may be among the first once distances are rounded
+                    x, y = np.nonzero(s >= np.partition(s, len(c) - most, 1)[:, len(c) - most, None] - 10.0**-DIGITS)
+                else:
+                    x, y = (z.ravel() for z in np.indices(s.shape))
+                x, y = r[x], c[y]
+                parts.append(best(x, y, np.round(1.0 - np.einsum("kd,kd->k", q[x], m[y]), DIGITS)))
+        if sum(len(p[0]) for p in parts) > 2_000_000:
+            parts = [best(*(np.concatenate(z) for z in zip(*parts)))]
+    if not parts:
+        return _nearest(asked.slice(0, 0), members, dims, most, kind)
+    r, c, d = best(*(np.concatenate(z) for z in zip(*parts)))
+    # a member stands for all its ids
+    place = ragged(np.arange(len(code)), first[c], held[c])
+    r, d = np.repeat(r, held[c]), np.repeat(d, held[c])
+    order = np.lexsort((code[place], d, r))
+    order = order[np.arange(len(r)) - np.searchsorted(r[order], r[order]) < most]
+    r, d, place = r[order], d[order], place[order]
+    rows = np.unique(r)
+    bounds = np.append(np.searchsorted(r, rows), len(r)).astype(np.int32)
+    structs = pa.StructArray.from_arrays([pa.array(d), flat_ids.take(pa.array(place))], fields=list(struct))
+    return pa.table({"qid": asked.column("qid").combine_chunks().take(pa.array(rows)), "found": pa.ListArray.from_arrays(pa.array(bounds), structs)})
+
 
-    Equal distances go by id. Rows with a null id, or with a vector that is null, empty, zero or holds a
-    null, NaN or infinite number, or of another size than most (the least of the most frequent sizes), are no queries
-    and nobody's neighbours. Of rows with equal ids the one with the least vector counts, so no
-    row is its own neighbour. Fewer than ``k`` others give as many ranks as there are; an empty table none.
-    Other columns are ignored. ``share``: more finds more; 1.0 gives a recall above 0.9 even for
-    vectors without any structure, where nothing much cheaper than looking at half of them does.
+def neighbours(
+    vectors: DataFrame, k: int = 10, queries: Callable[[Column], Column] | None = None, trees: int = TREES, leaf: int = LEAF, recall: float = RECALL,
+    key: str = "vec_id", vector: str = "embedding",
+) -> DataFrame:
+    """(``key``, ``rank`` from 1, ``neighbour``, ``distance`` 1 - cosine) of the ``k`` nearest other rows of every query.
+
+    ``queries``: a condition on the key, by default all rows; they are searched against all rows. Distances are rounded to DIGITS
+    digits, equal ones go by id. Keys may be of any type that has an order. Rows with a null id, or with a vector that is null, empty,
+    zero or holds a null, NaN or infinite number, or of another size than most (the least of the most frequent sizes), are
+    no queries and nobody's neighbours. Of rows with equal ids the one with the least vector counts, so no row is its
+    own neighbour. Fewer than ``k`` others give as many ranks as there are; an empty table none. Other columns are
+    ignored. ``recall``: the share of true neighbours that the search is set to meet on the probes.
     """
-    spark = vectors.sparkSession
-    own, dims = clean(vectors, key, vector)
-    total = own.count()
-    depth = max(0, min(DEPTH, math.ceil(math.log2(max(total, 1) / leaf)))) if total > leaf else 0
-    sample = own.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect() if depth else []
-    forest = Forest.build(np.array([r.v for r in sample], np.float32), trees, depth) if depth else Forest(np.zeros((1, 0, max(dims, 1)), np.float32), np.zeros((1, 0), np.float32))
-    shared = spark.sparkContext.broadcast(forest)  # trees x 2^depth directions, bounded by SAMPLE
-    trees, leaves = forest.trees, forest.leaves
+    spark, most = vectors.sparkSession, k + 1
+    rows, dims = clean(vectors, key, vector)
+    id_type, v_type = (rows.schema[c].dataType.simpleString() for c in ("id", "v"))
+    out = f"qid {id_type}, found array<struct<distance: double, neighbour: {id_type}>>"
+    nth = F.row_number().over(Window.partitionBy("v").orderBy("id"))
+    alike = rows.withColumn("nth", nth).where(F.col("nth") <= most).groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))  # most ids at most
+    members = cut(alike.select("ids", "v", F.xxhash64("v").alias("h")))
+    total = members.count()
+    depth = max(1, math.ceil(math.log2(max(total, 1) / leaf))) if total <= SAMPLE // PER_LEAF * leaf else int(math.log2(SAMPLE // PER_LEAF))
+    some = F.pmod(F.xxhash64("ids"), F.lit(1 << 20)) < F.lit(min(1 << 20, math.ceil((1 << 20) * SAMPLE / max(total, 1))))
+    picked = members.where(some).select("v", F.xxhash64("ids").alias("o")).toArrow()  # about SAMPLE rows, whatever the table
+    sample = _units(picked.column("v"), max(dims, 1))[np.argsort(picked.column("o").to_numpy())]
+    forest = Forest.build(sample, trees, depth) if len(sample) else Forest(np.zeros((trees, depth, max(dims, 1))), np.zeros((trees, 2**depth - 1)))
+    probes = sample[:PROBES]
+    shared = spark.sparkContext.broadcast((forest, probes))  # trees x SAMPLE / PER_LEAF splits at most
+    leaves = trees * forest.leaves
 
-    def file(batches):
-        forest = shared.value
+    def probe(batches):
+        forest, probes = shared.value
+        count, near, where = np.zeros(leaves, np.int64), np.full((len(probes), k), -np.inf), np.zeros((len(probes), k, trees), np.int32)
         for b in batches:
             if b.num_rows:
-                at = forest.leaf(_matrix(b.column(1), dims).astype(np.float32)) + np.arange(trees) * leaves
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), trees)), pa.array(at.ravel().astype(np.int32)), b.column(1).take(pa.array(np.repeat(np.arange(b.num_rows), trees)))], names=["id", "leaf", "v"])
+                x = _units(b.column(0), dims)
+                at = forest.leaf(x)
+                count += np.bincount(at.ravel(), minlength=leaves)
+                s = probes @ x.T
+                s[s > 1 - 1e-9] = -np.inf  # itself
+                top = np.argpartition(-s, min(k, len(x)) - 1, 1)[:, :k]
+                s, w = np.concatenate([near, np.take_along_axis(s, top, 1)], 1), np.concatenate([where, at[top]], 1)
+                order = np.argsort(-s, 1, kind="stable")[:, :k]
+                near, where = np.take_along_axis(s, order, 1), np.take_along_axis(w, order[:, :, None], 1)
+        have = np.flatnonzero(count)
+        p, j = np.nonzero(np.isfinite(near))
+        hits = pa.StructArray.from_arrays([pa.array(-near[p, j]), pa.array(where[p, j].tolist(), pa.list_(pa.int32()))], names=["d", "leaves"])
+        hits = pa.concat_arrays([pa.nulls(len(have), hits.type), hits])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([have, -1 - p]).astype(np.int32)), pa.array(np.concatenate([count[have], 0 * p])), hits], names=["which", "n", "hit"])
+
+    found = members.select("v").mapInArrow(probe, "which int, n bigint, hit struct<d: double, leaves: array<int>>")
+    found = found.groupBy("which").agg(F.sum("n").alias("n"), F.slice(F.array_sort(F.collect_list("hit")), 1, k).alias("hits")).collect()  # leaves and PROBES rows at most
+    sizes = np.zeros(leaves, np.int64)
+    sizes[[r.which for r in found if r.which >= 0]] = [r.n for r in found if r.which >= 0]
+    needed = [1]
+    for r in found:
+        if r.which < 0:
+            order = np.argsort(forest.margins(forest.project(probes[[-1 - r.which]])[0]), kind="stable")
+            before = np.empty(leaves, np.int64)
+            before[order] = np.cumsum(sizes[order]) - sizes[order]
+            needed += [int(before[h.leaves].min()) + 1 for h in r.hits]
+    enough = max(most, int(np.quantile(needed, recall, method="higher")))
+
+    def ask(batches):
+        forest, own = shared.value[0], sizes.tolist()
+        for b in batches:
+            for low in range(0, b.num_rows, 1024):
+                part = b.slice(low, 1024)
+                lists = [forest.search(p, own, enough) for p in forest.project(_units(part.column(1), dims))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lists, pa.list_(pa.int32()))], names=["qid", "v", "leaves"])
 
-    def count(batches):
-        forest = shared.value
+    wanted = rows if queries is None else rows.where(queries(F.col("id")))
+    alone = wanted.groupBy("v").agg(F.min("id").alias("qid"))
+    asked = cut(alone.select("qid", "v").mapInArrow(ask, f"qid {id_type}, v {v_type}, leaves array<int>"))
+    visits = np.zeros(leaves, np.int64)
+    for r in asked.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().collect():  # leaves at most
+        visits[r.leaf] = r["count"]
+    group, chunks, blocks = _places(sizes, visits)
+    names = ["grp", "chunk", "blk"]
+
+    def file(batches):
+        forest = shared.value[0]
         for b in batches:
             if b.num_rows:
-                at, n = np.unique(forest.leaf(_matrix(b.column(1), dims).astype(np.float32)) + np.arange(trees) * leaves, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n.astype(np.int64))], names=["leaf", "n"])
-
-    sizes = np.zeros(trees * leaves, np.int64)
-    for r in own.mapInArrow(count, "leaf int, n bigint").groupBy("leaf").agg(F.sum("n").alias("n")).collect():  # trees x leaves at most
-        sizes[r.leaf] = r.n
-    # leaves are put together in groups of about MEMBERS members, a greater leaf is a group of its own
-    group, held, number = np.zeros(trees * leaves, np.int32), 0, 0
-    for i, n in enumerate(sizes.tolist()):
-        if held and held + n > MEMBERS:
-            held, number = 0, number + 1
-        group[i] = number
-        held += n
-    # queries are split in blocks of about QUERIES
-    blocks = max(1, math.ceil(total / QUERIES))
-    groups = number + 1
-    enough = max(share * total, k + 1)
+                at = forest.leaf(_units(b.column(1), dims)).ravel()
+                row = np.repeat(np.arange(b.num_rows), trees)
+                row, at = row[group[at] >= 0], at[group[at] >= 0]
+                times = blocks[at]
+                blk = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                row, at = np.repeat(row, times), np.repeat(at, times)
+                chunk = b.column(2).to_numpy()[row] % chunks[at]
+                for low in range(0, len(row), 50_000):
+                    cut_ = slice(low, low + 50_000)
+                    take = pa.array(row[cut_])
+                    numbers = [pa.array(x[cut_].astype(np.int32)) for x in (group[at], chunk, blk, at)]
+                    yield pa.RecordBatch.from_arrays([*numbers, b.column(0).take(take), b.column(1).take(take)], names=[*names, "leaf", "ids", "v"])
 
-    def ask(batches):
-        forest = shared.value
+    def spread(batches):
         for b in batches:
-            for low in range(0, b.num_rows, 512):
-                part = b.slice(low, 512)
-                take = forest.taken(_matrix(part.column(1), dims).astype(np.float32), sizes, enough)
-                for g in range(groups):
-                    own_leaves = np.flatnonzero(group == g)
-                    mine = take[:, own_leaves]
-                    rows = np.flatnonzero(mine.any(1))
-                    if len(rows):
-                        r, c = np.nonzero(mine[rows])
-                        lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(r, np.arange(len(rows) + 1)).astype(np.int32)), pa.array(own_leaves[c].astype(np.int32)))
-                        ids = part.column(0).take(pa.array(rows))
-                        yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(len(rows), g, np.int32)), pa.array((ids.to_numpy() % blocks).astype(np.int32)), lists, part.column(1).take(pa.array(rows))], names=["id", "grp", "blk", "leaves", "v"])
+            lists = b.column(2)
+            at = lists.flatten().to_numpy()
+            row = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
+            times = chunks[at]
+            chunk = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            row, at = np.repeat(row, times), np.repeat(at, times)
+            if not len(row):
+                continue
+            order = np.lexsort((at, chunk, group[at], row))
+            row, at, chunk = row[order], at[order], chunk[order]
+            new = np.flatnonzero(np.concatenate([[True], (np.diff(row) != 0) | (np.diff(group[at]) != 0) | (np.diff(chunk) != 0)]))
+            bounds = np.append(new, len(row)).astype(np.int32)
+            blk = b.column(3).to_numpy()[row[new]] % blocks[at[new]]
+            for low in range(0, len(new), 50_000):
+                some = new[low : low + 50_000]
+                take, own = pa.array(row[some]), bounds[low : low + len(some) + 1]
+                numbers = [pa.array(x.astype(np.int32)) for x in (group[at[some]], chunk[some], blk[low : low + 50_000])]
+                own_lists = pa.ListArray.from_arrays(pa.array(own - own[0]), pa.array(at[own[0] : own[-1]].astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*numbers, b.column(0).take(take), b.column(1).take(take), own_lists], names=[*names, "qid", "v", "leaves"])
+
+    filed = members.mapInArrow(file, f"grp int, chunk int, blk int, leaf int, ids array<{id_type}>, v {v_type}")
+    sent = asked.select("qid", "v", "leaves", F.xxhash64("qid").alias("h")).mapInArrow(spread, f"grp int, chunk int, blk int, qid {id_type}, v {v_type}, leaves array<int>")
 
     def rank(asked: pa.Table, members: pa.Table) -> pa.Table:
-        out = {"id": [], "found": []}
-        kind = pa.list_(pa.struct([("distance", pa.float64()), ("neighbour", pa.int64())]))
-        if asked.num_rows and members.num_rows:
-            q, m = _matrix(asked.column("v"), dims), _matrix(members.column("v"), dims)
-            qid, mid, mleaf = asked.column("id").to_numpy(), members.column("id").to_numpy(), members.column("leaf").to_numpy()
-            lists = asked.column("leaves").combine_chunks()
-            flat, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy()
-            row = np.repeat(np.arange(len(q)), np.diff(ends))
-            q32, m32 = q.astype(np.float32), m.astype(np.float32)
-            keep = k + 6  # float32 decides which come near, float64 the order
-            best = np.full((len(q), keep), -np.inf, np.float32)
-            which = np.full((len(q), keep), -1, np.int64)
-            for leaf_ in np.unique(mleaf).tolist():
-                rows, own_m = row[flat == leaf_], np.flatnonzero(mleaf == leaf_)
-                for low in range(0, len(rows), 1024):
-                    r = rows[low : low + 1024]
-                    for first in range(0, len(own_m), 4096):
-                        c = own_m[first : first + 4096]
-                        s = q32[r] @ m32[c].T
-                        s[qid[r][:, None] == mid[c][None, :]] = -np.inf
-                        # members seen in another tree's leaf may come again: they are told apart by id
-                        n = min(keep, len(c))
-                        top = np.argpartition(-s, n - 1, 1)[:, :n]
-                        value = np.concatenate([best[r], np.take_along_axis(s, top, 1)], 1)
-                        index = np.concatenate([which[r], c[top]], 1)
-                        ids = np.where(index >= 0, mid[index], -1)
-                        order = np.argsort(-value, 1, kind="stable")
-                        value, index, ids = (np.take_along_axis(x, order, 1) for x in (value, index, ids))
-                        by_id = np.argsort(ids, 1, kind="stable")
-                        again = np.zeros(ids.shape, bool)
-                        sorted_ids = np.take_along_axis(ids, by_id, 1)
-                        np.put_along_axis(again, by_id[:, 1:], sorted_ids[:, 1:] == sorted_ids[:, :-1], 1)
-                        value[again] = -np.inf
-                        order = np.argsort(-value, 1, kind="stable")[:, :keep]
-                        best[r], which[r] = np.take_along_axis(value, order, 1), np.take_along_axis(index, order, 1)
-            some, slot = np.nonzero(np.isfinite(best))
-            d = 1.0 - np.einsum("kd,kd->k", q[some], m[which[some, slot]])
-            order = np.lexsort((mid[which[some, slot]], d, some))
-            some, d, n = some[order], d[order], mid[which[some, slot]][order]
-            nth = np.arange(len(some)) - np.searchsorted(some, some)
-            some, d, n = some[nth < k], d[nth < k], n[nth < k]
-            rows = np.unique(some)
-            bounds = np.append(np.searchsorted(some, rows), len(some))
-            structs = pa.StructArray.from_arrays([pa.array(d), pa.array(n)], names=["distance", "neighbour"])
-            return pa.table({"id": pa.array(qid[rows]), "found": pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), structs)})
-        return pa.table({"id": pa.array([], pa.int64()), "found": pa.array([], kind)})
-
-    group_of = F.broadcast(spark.createDataFrame([(i, int(g)) for i, g in enumerate(group)], "leaf int, grp int"))
-    members = own.mapInArrow(file, "id bigint, leaf int, v array<double>").join(group_of, "leaf").withColumn("blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = own.mapInArrow(ask, "id bigint, grp int, blk int, leaves array<int>, v array<double>")
-    found = asked.groupBy("grp", "blk").cogroup(members.groupBy("grp", "blk")).applyInArrow(rank, "id bigint, found array<struct<distance: double, neighbour: bigint>>")
-    merged = found.groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("found")).select("id", F.slice("found", 1, k).alias("found"))
-    out = merged.select("id", F.posexplode("found").alias("pos", "hit")).select("id", (F.col("pos") + 1).alias("rank"), "hit.neighbour", "hit.distance")
-    return out.toDF(key, "rank", "neighbour", "distance")
+        return _nearest(asked, members, dims, most, asked.schema.field("qid").type)
+
+    near = sent.groupBy(*names).cogroup(filed.groupBy(*names)).applyInArrow(rank, out)
+    merged = near.groupBy("qid").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, most).alias("found"))
+    whole = wanted.join(alone, "v").select("id", "qid").join(merged, "qid")
+    whole = whole.select("id", F.expr(f"slice(filter(found, x -> x.neighbour != id), 1, {k})").alias("found"))
+    return whole.select("id", F.posexplode("found").alias("pos", "hit")).select("id", (F.col("pos") + 1).alias("rank"), "hit.neighbour", "hit.distance").toDF(key, "rank", "neighbour", "distance")

@@ -335,21 +335,105 @@ def test_quality_row_by_row(spark, sf_dir, docs):
 # 8
 
 
-def test_recall(spark):
-    rng = np.random.default_rng(1)
-    x = rng.normal(size=(3000, 32))
-    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+def brute_force(ids, x, k, wanted):
+    u = np.asarray(x, np.float64)
+    u = u / np.linalg.norm(u, axis=1, keepdims=True)
+    out = {}
+    for i in wanted:
+        d = np.round(1 - u @ u[i], ann.DIGITS)
+        order = [j for j in sorted(range(len(ids)), key=lambda j: (d[j], ids[j])) if j != i][:k]
+        out[ids[i]] = [(ids[j], d[j]) for j in order]
+    return out
+
+
+def found(rows):
     got: dict = {}
-    for r in ann.neighbours(d, k=10, leaf=150).collect():
-        got.setdefault(r.vec_id, {})[r.rank] = (r.neighbour, r.distance)
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    dist = 1 - u @ u.T
-    np.fill_diagonal(dist, 9)
-    truth = np.argsort(dist, 1, kind="stable")[:, :10]
-    assert set(got) == set(range(3000)) and all(sorted(v) == list(range(1, 11)) for v in got.values())
-    assert np.mean([len({n for n, _ in got[i].values()} & set(truth[i])) / 10 for i in range(3000)]) >= 0.9
-    for i in range(0, 3000, 97):
-        assert all(abs(d_ - dist[i, n]) < 1e-9 for n, d_ in got[i].values())
+    for r in sorted(rows, key=lambda r: r[1]):
+        got.setdefault(r[0], []).append((r.neighbour, r.distance))
+    return got
+
+
+def recall(got, want):
+    assert set(got) == set(want) and all(len(got[q]) == len(want[q]) for q in want)
+    for q in want:
+        assert got[q] == sorted(got[q], key=lambda x: (x[1], x[0]))
+    return np.mean([len({n for n, _ in got[q]} & {n for n, _ in want[q]}) / len(want[q]) for q in want])
+
+
+def test_recall_without_structure(spark):
+    x = np.random.default_rng(1).normal(size=(3000, 32))
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = found(ann.neighbours(d, leaf=50, queries=lambda i: i % 3 == 0).collect())
+    want = brute_force(list(range(3000)), x, 10, range(0, 3000, 3))
+    assert recall(got, want) >= 0.9
+    for q, own in want.items():
+        exact = dict(own)
+        assert all(abs(d_ - exact[n]) <= 2e-12 for n, d_ in got[q] if n in exact)
+
+
+def test_the_neighbours_query(spark, sf_dir):
+    rows = sorted((r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect())
+    ids = [i for i, _ in rows]
+    want = brute_force(ids, [v for _, v in rows], 10, [j for j, i in enumerate(ids) if i % 20 == 0])
+    assert recall(found(queries()["op8_neighbours"](spark, sf_dir).collect()), want) >= 0.9
+
+
+def test_clusters_need_as_many_members_at_any_size():
+    work = {}
+    for n in (2_000, 10_000):
+        rng = np.random.default_rng(n)
+        centres = rng.normal(size=(n // 100, 24))
+        x = np.round(centres[rng.integers(len(centres), size=n)] + 0.1 * rng.normal(size=(n, 24)), 6)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        forest = ann.Forest.build(x, 8, int(np.log2(n / 62)))
+        own = forest.leaf(x)
+        sizes = np.bincount(own.ravel(), minlength=8 * forest.leaves)
+        needed = []
+        for i in range(0, n, n // 50):
+            top = np.argsort(-(x @ x[i]))[1:11]
+            order = forest.search(forest.project(x[[i]])[0], sizes, 10**9)
+            place = {leaf: p for p, leaf in enumerate(order)}
+            before = np.cumsum(sizes[order]) - sizes[order]
+            needed += [before[min(place[leaf] for leaf in own[j])] for j in top]
+        work[n] = np.quantile(needed, 0.95)
+    assert work[10_000] < 1.5 * max(work[2_000], 500)
+
+
+def test_queue_order_is_that_of_the_margins():
+    x = np.random.default_rng(2).normal(size=(500, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    forest = ann.Forest.build(x, 3, 4)
+    leaf = forest.leaf(x)
+    sizes = np.bincount(leaf.ravel(), minlength=3 * forest.leaves)
+    for i in range(0, 500, 50):
+        p = forest.project(x[[i]])[0]
+        margins = forest.margins(p)
+        assert set(np.flatnonzero(margins == 0)) == set(leaf[i])
+        order = forest.search(p, sizes, 10**9)
+        assert sorted(order) == np.flatnonzero(sizes).tolist()
+        assert (np.diff(margins[order]) >= 0).all()
+        short = forest.search(p, sizes, 100)
+        assert short == order[: len(short)] and sizes[short].sum() >= 100 > sizes[short[:-1]].sum()
+
+
+def test_equal_vectors_string_ids_chunks_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ann, "MEMBERS", 40)
+    monkeypatch.setattr(ann, "QUERIES", 30)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 6))
+    x[:120] = x[0]  # a hot vector, and some in the same direction
+    x[120:130] = 3 * x[0]
+    ids = [f"k{i:03d}" for i in rng.permutation(300)]
+    d = spark.createDataFrame([(i, v.tolist(), 1) for i, v in zip(ids, x)], "vec_id string, embedding array<double>, leaf int")
+    got = found(ann.neighbours(d, k=5, leaf=30, recall=1.0).collect())
+    want = brute_force(ids, x, 5, range(300))
+    assert recall(got, want) >= 0.97
+    assert all([n for n, _ in got[i]] == [n for n, _ in want[i]] for i in ids[:130])
+
+
+def test_very_large_and_small_numbers(spark):
+    d = spark.createDataFrame([(1, [1e300, 1e300]), (2, [1.0, 1.1]), (3, [1e-310, 0.0]), (4, [float("inf"), 1.0])], "vec_id bigint, embedding array<double>")
+    assert {(r.vec_id, r.rank): r.neighbour for r in ann.neighbours(d, k=1).collect()} == {(1, 1): 2, (2, 1): 1, (3, 1): 1}
 
 
 # 9
