@@ -1,7 +1,8 @@
 """Near duplicates by SimHash with deletion-variant signatures.
 
-A text's features are its distinct longer words; each has SEGMENTS x WIDTH pseudo-random bits, and the
-signature has each bit's majority. The signature is cut into so few segments that of two
+A text's features are its different words, of weight WORD, and its different pairs of neighbouring words, of weight 1, so that all
+words and their order count. Each has SEGMENTS x WIDTH pseudo-random bits, and the signature has each bit's weighted
+majority. The signature is cut into so few segments that of two
 signatures within RADIUS = 2 x SEGMENTS - 1 bits one segment differs in one bit at most: then the two share
 a one-wildcard variant of it (the segment with one bit deleted). Variants are joined on equality
 and the pairs verified on the whole signature. Pairs farther apart share a variant by chance only, so the bits
@@ -33,23 +34,21 @@ SEGMENTS, WIDTH = 10, 28
 BITS = SEGMENTS * WIDTH
 BYTES = BITS // 8
 HALF = WIDTH // 2
-#: All pairs within RADIUS bits share a variant. Pairs that share one count up to NEAR bits (about 0.86 in cosine, where
-#: a copy lies with a seventh of its longer words replaced).
+#: All pairs within RADIUS bits share a variant. Pairs that share one count up to NEAR bits (about 0.86 in cosine).
 RADIUS, NEAR = 2 * SEGMENTS - 1, 48
 #: Of pairs at 38, 44 and 48 bits, 0.61, 0.38 and 0.27 share a variant in one arrangement, 0.99, 0.94 and 0.85 in one of six.
 ARRANGEMENTS = 6
-#: Words of so many letters at least are features, unless there are fewer than LEAST of them; then all words are.
-LONG, LEAST = 4, 4
+#: Weight of a word against a pair of neighbouring words.
+WEIGHT = 8
 _WORD = re.compile(r"[^\W_]+")
 _POPULATION = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
+#: Each byte's bits, one in each byte of a 64-bit number, so that eight counters are added at once.
+_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
 
 
-def features(text: str) -> list[str]:
-    words = set(_WORD.findall(text.lower()))
-    long = [w for w in words if len(w) >= LONG]
-    if len(long) >= LEAST:
-        return long
-    return list(words) or ([text.strip()] if text.strip() else [])
+def words(text: str) -> list[str]:
+    """Of a text without words, the text itself."""
+    return _WORD.findall(text.lower()) or ([text.strip()] if text.strip() else [])
 
 
 def _mixed(h: np.ndarray, turn: int) -> np.ndarray:
@@ -61,33 +60,53 @@ def _mixed(h: np.ndarray, turn: int) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
+def _votes(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """(texts, BITS): how many of each text's features have the bit. ``h``: the texts' features one after another, ``counts`` (1 at least)
+    how many each has."""
+    raw = np.stack([_mixed(h, k + 1) for k in range(-(-BITS // 64))], 1).astype("<u8").view(np.uint8)[:, :BYTES]
+    ends = np.cumsum(counts)
+    # runs of 255 features of one text at most, so that no counter of 8 bits overflows
+    runs = -(-counts // 255)
+    first = np.cumsum(runs) - runs
+    starts = np.repeat(ends - counts, runs) + 255 * (np.arange(runs.sum()) - np.repeat(first, runs))
+    sums = np.add.reduceat(_SPREAD[raw], starts, axis=0).view(np.uint8)
+    return np.add.reduceat(sums, first, axis=0, dtype=np.int32)
+
+
+def _signed(features: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """(texts, BYTES) from each text's hashes of words and of pairs. A tied bit is 0."""
+    n, m = (np.array([len(f[i]) for f in features], np.int64) for i in (0, 1))
+    votes = WEIGHT * _votes(np.concatenate([f[0] for f in features]), n)
+    some = np.flatnonzero(m)
+    if len(some):
+        votes[some] += _votes(np.concatenate([f[1] for f in features]), m[some])
+    return np.packbits(2 * votes > (WEIGHT * n + m)[:, None], axis=1)
+
+
 def signatures(texts: list[str | None]) -> list[bytes | None]:
-    """BYTES bytes for each text; None for null and blank ones. A tied bit is 0."""
-    hashes, counts = [], []
+    """BYTES bytes for each text; None for null and blank ones."""
     digest = xxhash.xxh3_64_intdigest
-    for t in texts:
-        own = features(t) if t else []
-        hashes.extend(map(digest, own))
-        counts.append(len(own))
     out: list[bytes | None] = [None] * len(texts)
-    h = np.array(hashes, np.uint64)
-    ends = np.cumsum(counts)
-    have = np.flatnonzero(counts)
-    at = 0
-    while at < len(have):  # some 60,000 features at once, one text at least
-        to = max(at + 1, int(np.searchsorted(ends[have], (ends[have[at]] - counts[have[at]]) + 60_000, "right")))
-        votes = np.zeros((to - at, BITS), np.int64)
-        first, last = int(ends[have[at]] - counts[have[at]]), int(ends[have[to - 1]])
-        for low in range(first, last, 60_000):
-            own = h[low : min(low + 60_000, last)]
-            bits = np.unpackbits(np.stack([_mixed(own, k + 1) for k in range(-(-BITS // 64))], 1).astype("<u8").view(np.uint8), axis=1)[:, :BITS]
-            row = np.searchsorted(ends[have[at:to]], np.arange(low, low + len(own)), "right")
-            starts = np.flatnonzero(np.diff(row, prepend=-1))
-            votes[row[starts]] += np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-        packed = np.packbits(2 * votes > np.array([counts[i] for i in have[at:to]])[:, None], axis=1)
-        for i, sig in zip(have[at:to].tolist(), packed):
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    at: list[int] = []
+    size = 0
+
+    def flush() -> None:
+        for i, sig in zip(at, _signed(held)):
             out[i] = sig.tobytes()
-        at = to
+
+    for i, t in enumerate(texts):
+        own = words(t) if t else []
+        if own:
+            h = np.fromiter(map(digest, own), np.uint64, len(own))
+            held.append((np.unique(h), np.unique(_mixed(h[:-1], 9) ^ h[1:])))
+            at.append(i)
+            size += len(held[-1][0]) + len(held[-1][1])
+            if size > 60_000:  # features at once, one text at least
+                flush()
+                held, at, size = [], [], 0
+    if held:
+        flush()
     return out
 
 
@@ -206,58 +225,72 @@ def signed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return own.mapInArrow(run, T.StructType([T.StructField("key", own.schema["key"].dataType), T.StructField("hash", T.LongType()), T.StructField("sig", T.BinaryType())]))
 
 
+def node_of(sig: Column) -> Column:
+    return F.xxhash64(sig)
+
+
 def edges(nodes: DataFrame, near: int = NEAR) -> DataFrame:
-    """(u, v), u < v: pairs of nodes (node bigint, sig) whose components are those of all verified pairs."""
+    """(u, v), u < v: pairs of the nodes of signatures (sig) whose components are those of all verified pairs. Only signatures are shuffled: the
+    segment follows from the signature and the key, and the node (``node_of``) from the signature."""
+    each = ARRANGEMENTS * SEGMENTS
 
     def halves(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sigs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, BYTES)
+            sigs = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, BYTES)
             segs = segments(sigs)
-            for k in range(segs.shape[1]):
+            for k in range(each):
                 for which in (0, 1):  # 0: the upper half is whole
                     part = segs[:, k] >> HALF if which == 0 else segs[:, k] & ((1 << HALF) - 1)
-                    yield pa.RecordBatch.from_arrays([pa.array(((part * segs.shape[1] + k) << 1 | which).astype(np.int64)), pa.array(segs[:, k].astype(np.int32)), batch.column(0), batch.column(1)], names=["half", "number", "node", "sig"])
+                    yield pa.RecordBatch.from_arrays([pa.array((part * each + k) << 1 | which), batch.column(0)], names=["half", "sig"])
+
+    def joined(rows: pa.Table):
+        half, column = rows.column(0).to_numpy(), rows.column(1).combine_chunks()
+        sigs = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BYTES)
+        bits = np.unpackbits(sigs, axis=1)[np.arange(len(half))[:, None], ORDERS.reshape(each, WIDTH)[(half >> 1) % each]]
+        found = join_variants(half, bits @ (1 << np.arange(WIDTH - 1, -1, -1, dtype=np.int64)), sigs, near)
+        if len(found):
+            yield pa.RecordBatch.from_arrays([column.take(pa.array(found[:, 0])), column.take(pa.array(found[:, 1]))], names=["a", "b"])
 
     def pairs(batches):
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        whole = pa.Table.from_batches(held)
-        half, number, node = (whole.column(i).to_numpy() for i in range(3))
-        sigs = np.frombuffer(b"".join(whole.column(3).to_pylist()), np.uint8).reshape(-1, BYTES)
-        order = np.argsort(half, kind="stable")
-        starts = np.flatnonzero(np.diff(half[order], prepend=half[order[0]] - 1))
-        at = 0
-        while at < len(starts):  # whole keys, some 200,000 rows at once
-            to = max(at + 1, int(np.searchsorted(starts, starts[at] + 200_000)))
-            rows = order[starts[at] : starts[to] if to < len(starts) else len(order)]
-            found = join_variants(half[rows], number[rows].astype(np.int64), sigs[rows], near)
-            if len(found):
-                a, b = node[rows[found[:, 0]]], node[rows[found[:, 1]]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["u", "v"])
-            at = to
-
-    spread = nodes.select("node", "sig").mapInArrow(halves, "half bigint, number int, node bigint, sig binary")
-    return spread.repartition("half").mapInArrow(pairs, "u bigint, v bigint").where("u < v").distinct()
-
-
-def components(pairs: DataFrame, most: int = 60) -> DataFrame:
+        """Rows come ordered by half; whole keys are joined, some 200,000 rows at once."""
+        held, n = [], 0
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                n += b.num_rows
+                if n >= 200_000:
+                    rows = pa.Table.from_batches(held)
+                    whole = int(np.searchsorted(rows.column(0).to_numpy(), rows.column(0)[n - 1].as_py()))
+                    if whole:
+                        yield from joined(rows.slice(0, whole))
+                        held = rows.slice(whole).combine_chunks().to_batches()
+                        n -= whole
+        if held:
+            yield from joined(pa.Table.from_batches(held))
+
+    spread = nodes.select("sig").mapInArrow(halves, "half bigint, sig binary")
+    close = spread.repartition("half").sortWithinPartitions("half").mapInArrow(pairs, "a binary, b binary").where("a != b")
+    a, b = node_of(F.col("a")), node_of(F.col("b"))
+    return close.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct()
+
+
+def components(pairs: DataFrame) -> DataFrame:
     """(node, root): the least node of each component, for nodes of pairs (u, v), u < v. By large-star and small-star
-    steps; each halves the paths' lengths, so that ``most`` rounds would do for any graph."""
+    steps, each of which shortens all paths, until nothing changes any more."""
     now = cut(pairs.select("u", "v").distinct())
     last = None
-    for _ in range(most):
-        # large star: each node's greater neighbours go to its least one
+    while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # large star: each node's greater neighbours go to its least one
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         big = both.join(least, "u").where("v > u").select(F.col("m").alias("u"), "v").distinct()
         # small star: each node's lesser neighbours and itself go to the least of them
         low = big.groupBy("v").agg(F.min("u").alias("m"))
         small = big.join(low, "v").where("u != m").select(F.col("m").alias("u"), F.col("u").alias("v"))
         now = cut(small.unionByName(low.select(F.col("m").alias("u"), "v")).distinct())
-        state = tuple(now.agg(F.count("*"), F.sum(F.hash("u", "v").cast("bigint"))).first())
+        state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("v", "u"))).first())
         if state == last:
             break
         last = state
@@ -271,7 +304,7 @@ BROADCAST_ROWS = 1_000_000
 def _decisions(docs: DataFrame, near: int, key: str, text: str) -> DataFrame:
     """(key, hash, n rows, best (key, hash) of the group, group_size) of all groups of several rows. A node is the
     64-bit hash of a signature."""
-    rows = cut(signed(docs, key, text).withColumn("node", F.xxhash64("sig")))
+    rows = cut(signed(docs, key, text).withColumn("node", node_of(F.col("sig"))))
     roots = components(edges(rows.groupBy("node").agg(F.min("sig").alias("sig")), near))
     flat = rows.groupBy("node", "key", "hash").agg(F.count("*").alias("n")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = flat.groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "hash")).alias("best"), F.sum("n").alias("group_size")).where("group_size > 1")

@@ -8,6 +8,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 
 from engram.llm import ann, licenses, packing, pieces, pii, quality, secrets, sharding, simhash, toxicity
 from engram.llm.common import table
@@ -478,6 +479,44 @@ def test_near_duplicates_against_all_pairs(spark, sf_dir):
     assert len(want) > 40
 
 
+def test_signatures_bit_by_bit(docs):
+    texts = [t for t in docs.values() if t][:40] + ["v1 in", "a", "!!", " ".join(f"w{i % 700}" for i in range(3_000))]
+    for text, got in zip(texts, simhash.signatures(texts)):
+        h = [xxhash.xxh3_64_intdigest(w) for w in simhash.words(text)]
+        pairs = {int(simhash._mixed(np.array([a], np.uint64), 9)[0]) ^ b for a, b in zip(h, h[1:])}
+        votes = [0] * simhash.BITS
+        for features, weight in ((set(h), simhash.WEIGHT), (pairs, 1)):
+            for f in features:
+                numbers = [int(simhash._mixed(np.array([f], np.uint64), k + 1)[0]) for k in range(5)]
+                raw = b"".join(n.to_bytes(8, "little") for n in numbers)
+                for bit in range(simhash.BITS):
+                    votes[bit] += weight * (1 if raw[bit // 8] >> (7 - bit % 8) & 1 else -1)
+        assert list(np.unpackbits(np.frombuffer(got, np.uint8))) == [int(v > 0) for v in votes]
+    assert simhash.signatures([None, "", " \n"]) == [None] * 3
+
+
+def test_short_words_and_order_count():
+    base = [f"some{i} words{i} of{i}" for i in range(9)]
+    sigs = simhash.signatures([f"{x} {' '.join(base)}" for x in ("v1", "v2", "no", "an")] + [" ".join(base), " ".join(base[::-1])])
+    assert len(set(sigs)) == len(sigs)
+
+
+@pytest.mark.parametrize("n", [3_000])
+def test_components_of_a_long_chain(spark, n):
+    order = np.random.default_rng(4).permutation(n).tolist()
+    pairs = [(min(a, b), max(a, b)) for a, b in zip(order, order[1:])]
+    got = simhash.components(spark.createDataFrame(pairs, "u bigint, v bigint")).collect()
+    assert {r.node for r in got} | {0} == set(range(n)) and {r.root for r in got} == {0}
+
+
+def test_dropping_with_and_without_a_broadcast(spark, sf_dir, monkeypatch):
+    d = table(spark, sf_dir, "documents")
+    d = d.unionByName(d.where("doc_id % 7 = 0"))
+    want = sorted(map(str, simhash.drop(d).collect()))
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", 0)
+    assert sorted(map(str, simhash.drop(d).collect())) == want
+
+
 def test_near_duplicates_are_found_without_regard_to_variants(spark):
     rng = np.random.default_rng(5)
     sigs, want = [], {}
@@ -488,8 +527,9 @@ def test_near_duplicates_are_found_without_regard_to_variants(spark):
             other[rng.choice(simhash.BITS, far, replace=False)] ^= 1
             want[len(sigs), len(sigs) + 1] = far
             sigs += [np.packbits(bits).tobytes(), np.packbits(other).tobytes()]
-    d = spark.createDataFrame([(i, bytearray(s)) for i, s in enumerate(sigs)], "node bigint, sig binary")
-    found = [want[r.u, r.v] for r in simhash.edges(d).collect()]
+    d = spark.createDataFrame([(i, bytearray(s)) for i, s in enumerate(sigs)], "i bigint, sig binary")
+    number = {r.node: r.i for r in d.select("i", simhash.node_of(d.sig).alias("node")).collect()}
+    found = [want[tuple(sorted((number[r.u], number[r.v])))] for r in simhash.edges(d).collect()]
     assert [found.count(far) / 300 >= least for far, least in ((28, 0.99), (33, 0.99), (38, 0.98), (43, 0.92), (simhash.NEAR, 0.78))] == [True] * 5
 
 
