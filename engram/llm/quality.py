@@ -104,14 +104,16 @@ _STRIP = "".join(sorted(_MARKS))
 
 
 def pattern(m: Measures, rules: tuple[Rule, ...]) -> int:
-    """The votes as a number in base 3, rule 0 last."""
+    """The votes as a number in base 3, rule 0 last. There is room for 39 rules."""
     return sum((BAD if r.bad(m) else GOOD if r.good(m) else ABSTAIN) * 3**i for i, r in enumerate(rules))
 
 
 def _patterns(column: pa.Array, rules: tuple[Rule, ...]) -> np.ndarray:
+    if len(rules) > 39:
+        raise ValueError("39 rules at most")
     column = as_string(column)
     offsets, raw = buffers(column)
-    out = np.zeros(len(column), np.int32)
+    out = np.zeros(len(column), np.int64)
     for at, to in slices(np.diff(offsets)):
         texts = [t or "" for t in column.slice(at, to - at).to_pylist()]
         own = measure(texts, offsets[at : to + 1] - offsets[at], raw[offsets[at] : offsets[to]])
@@ -172,7 +174,7 @@ def _posteriors(spark, counted: list, rules: int) -> DataFrame:
     patterns = np.array([r[0] for r in counted], np.int64)
     model = expectation_maximisation(patterns, np.array([r[1] for r in counted], float), rules)
     p = model.posterior(patterns) if len(patterns) else np.zeros(0)
-    return F.broadcast(spark.createDataFrame([(int(a), float(b)) for a, b in zip(patterns, np.round(p, 9))], "q_pattern int, quality double"))
+    return F.broadcast(spark.createDataFrame([(int(a), float(b)) for a, b in zip(patterns, np.round(p, 9))], "q_pattern bigint, quality double"))
 
 
 def score(docs: DataFrame, rules: tuple[Rule, ...] = RULES, least: float = 0.5, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -189,28 +191,24 @@ def score(docs: DataFrame, rules: tuple[Rule, ...] = RULES, least: float = 0.5,
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_patterns(batch.column(1), rules))], names=["key", "q_pattern"])
 
-    own = cut(own.mapInArrow(run, T.StructType([own.schema["key"], T.StructField("q_pattern", T.IntegerType())])))
+    own = cut(own.mapInArrow(run, T.StructType([own.schema["key"], T.StructField("q_pattern", T.LongType())])))
     counted = sorted(own.groupBy("q_pattern").count().collect())  # bounded by the number of rules
     spelt = F.concat(*[F.element_at(F.array(F.lit("0"), F.lit("+"), F.lit("-")), (F.floor(F.col("q_pattern") / 3**i) % 3 + 1).cast("int")) for i in range(len(rules))])
     return own.join(_posteriors(docs.sparkSession, counted, len(rules)), "q_pattern").select(F.col("key").alias(key), spelt.alias("votes"), "quality", (F.col("quality") >= least).alias("keep"))
 
 
 def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES, least: float = 0.5, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose posterior is ``least`` at least, with all their columns. Cases: see ``score``."""
+    """The rows of ``docs`` whose posterior is ``least`` at least, with all their columns. Cases: see ``score``.
+
+    The texts are read once: rows go to the shared checkpoint folder with their votes."""
     own = positional(docs)
     at = int(place(docs, text)[1:])
 
-    def count(batches):
-        for batch in batches:
-            found = np.unique(_patterns(batch.column(0), rules), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1].astype(np.int64))], names=["q_pattern", "n"])
-
-    counted = sorted(own.select(F.col(f"_{at}").cast("string")).mapInArrow(count, "q_pattern int, n bigint").groupBy("q_pattern").agg(F.sum("n")).collect())
-    patterns, numbers = (np.array([r[i] for r in counted], np.int64) for i in (0, 1))
-    kept = patterns[np.round(expectation_maximisation(patterns, numbers, len(rules)).posterior(patterns), 9) >= least] if len(counted) else patterns
-
     def run(batches):
         for batch in batches:
-            yield batch.filter(pa.array(np.isin(_patterns(batch.column(at), rules), kept)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_patterns(batch.column(at), rules))], names=[*batch.schema.names, "q_pattern"])
 
-    return own.mapInArrow(run, own.schema).toDF(*docs.columns)
+    own = cut(own.mapInArrow(run, T.StructType([*own.schema, T.StructField("q_pattern", T.LongType())])))
+    counted = sorted(own.groupBy("q_pattern").count().collect())  # bounded by the number of rules
+    kept = _posteriors(docs.sparkSession, counted, len(rules)).where(F.col("quality") >= least)
+    return own.join(kept, "q_pattern", "left_semi").drop("q_pattern").toDF(*docs.columns)
