@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -106,9 +107,8 @@ def test_window_is_bounded():
 # 3
 
 
-def plain_best_fit(lengths, capacities):
+def planned(lengths, capacities, plan):
     """Every open bin is looked at for each piece."""
-    capacities = sorted(capacities)
     bins = []
     for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
         n = lengths[i]
@@ -117,12 +117,34 @@ def plain_best_fit(lengths, capacities):
             b = min(fitting)[1]
         else:
             b = len(bins)
-            bins.append([min((c for c in capacities if c >= n), key=lambda c: (packing.cost(c) / c, c)), 0, []])
+            bins.append([plan[min(c for c in capacities if c >= n)], 0, []])
         bins[b][1] += n
         bins[b][2].append(i)
     return [(min(c for c in capacities if c >= used), used, places) for _, used, places in bins]
 
 
+def total(bins):
+    return sum(packing.cost(c) for c, *_ in bins)
+
+
+def plain_best_fit(lengths, capacities):
+    capacities = sorted(capacities)
+    choices = itertools.product(*[[c for c in capacities if c >= least] for least in capacities])
+    return min((planned(lengths, capacities, dict(zip(capacities, x))) for x in choices), key=total)
+
+
+def cheapest(lengths, capacities):
+    """The least cost of all ways to put pieces into bins."""
+
+    def put(i, bins):
+        if i == len(lengths):
+            return sum(packing.cost(min(c for c in capacities if c >= b)) for b in bins)
+        ways = [put(i + 1, [*bins[:b], bins[b] + lengths[i], *bins[b + 1 :]]) for b in range(len(bins)) if bins[b] + lengths[i] <= max(capacities)]
+        return min([*ways, put(i + 1, [*bins, lengths[i]])])
+
+    return put(0, [])
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_best_fit(seed):
     rng = random.Random(seed)
@@ -130,6 +152,37 @@ def test_best_fit(seed):
     assert packing.best_fit(lengths, (25, 50, 100)) == plain_best_fit(lengths, (25, 50, 100))
 
 
+def test_best_fit_against_all_ways():
+    rng, capacities, off = random.Random(9), packing.CAPACITIES, []
+    for _ in range(60):
+        lengths = [rng.randint(100, 9000) for _ in range(rng.randint(1, 7))]
+        own, least = total(packing.best_fit(lengths)), cheapest(lengths, capacities)
+        # never worse than the fixed rule of the least cost for each unit of a full bin
+        fixed = {c: min((x for x in capacities if x >= c), key=lambda x: (packing.cost(x) / x, x)) for c in capacities}
+        assert least - 1e-6 <= own <= total(planned(lengths, capacities, fixed)) + 1e-6
+        off.append(own / least)
+    assert np.mean(off) < 1.03 and max(off) < 1.25
+
+
+def test_the_packing_query_against_the_plain_version(spark, sf_dir, docs):
+    pieces_ = [(k, i, t[at : at + 16_383]) for k, t in docs.items() for i, at in enumerate(range(0, len(t or ""), 16_383))]
+    assert sum(len(p[2]) for p in pieces_) <= packing.GROUP_CHARS  # one group
+    pieces_.sort(key=lambda p: (-len(p[2]), p[0], p[1]))
+    want = plain_best_fit([len(p[2]) + 1 for p in pieces_], packing.CAPACITIES)
+    got = queries()["op3_packing"](spark, sf_dir).collect()
+    assert sorted((b.capacity, b.used, list(zip(b.doc_ids, b.parts))) for b in got) == sorted((c, used, [pieces_[i][:2] for i in places]) for c, used, places in want)
+
+
+def test_packing_keys_of_any_type_and_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_CHARS", 2_000)
+    monkeypatch.setattr(packing, "ALIKE", 10)
+    d = spark.createDataFrame([(f"k{i % 3}", "same text " * 3) for i in range(600)] + [(None, "x")], "doc_id string, text string").repartition(1)
+    got = packing.pack(d, (40, 80, 160)).collect()
+    held = [k for b in got for k in b.doc_ids]
+    assert sorted(map(str, held)) == sorted(["None"] + [f"k{i % 3}" for i in range(600)])
+    assert max(n for _, n in Counter(b.bin_id.split("-")[0] for b in got).items()) < 120  # equal rows aren't in three groups
+
+
 def test_packing_loses_nothing(spark, sf_dir, docs):
     got: dict = {}
     for b in queries()["op3_packing"](spark, sf_dir).collect():
