@@ -1,6 +1,6 @@
 """Personal data by a linear-chain conditional random field over word shapes.
 
-Words (runs without blanks) are reduced to a core without clinging punctuation, and the core to
+Words (runs without blanks, quotes, brackets, commas and the like) are reduced to a core without clinging punctuation, and the core to
 a shape: ``a`` for lower case, ``A`` for upper case, ``9`` with the run's length for digits, marks as
 they are. A label's score is a sum of weights of the shape's features at the word, before it
 and after it, plus a weight for each pair of neighbouring labels. The weights come from a
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import itertools
 import re
+import uuid
 from functools import lru_cache
 
 import numpy as np
@@ -31,7 +32,11 @@ KINDS = ("EMAIL", "PHONE", "IP", "CARD", "SSN", "IBAN")
 LABELS = ("O", *[f"{p}-{k}" for k in KINDS for p in "BI"])
 #: Words of the labelled table that training reads at most.
 TRAIN_WORDS = 60_000
-WORD = re.compile(r"\S+")
+#: Besides blanks these end a word, so that an address in a line of CSV or JSON is a word of its own; a comma before three digits of a
+#: number doesn't.
+_BREAKS = r'\s,;"<>{}\[\]|'
+_INNER = f"[^{_BREAKS}]+(?:(?<=[0-9]),(?=[0-9]{{3}}(?![0-9]))[^{_BREAKS}]+)*"
+WORD = re.compile(_INNER)
 _EDGE_LEFT = re.compile(r"^[^\w+(]+")
 
 
@@ -345,7 +350,8 @@ def fit(rows: list[tuple[int, int, str, str]], rounds: int = 160, penalty: float
 
 
 #: Words that aren't letters or marks alone.
-_ODD = re.compile(r"(?<!\S)[^\s0-9@+]*[0-9@+]\S*")
+_ODD = re.compile(f"(?<![^{_BREAKS}])[^{_BREAKS}0-9@+]*[0-9@+][^{_BREAKS}]*(?:(?<=[0-9]),(?=[0-9]{{3}}(?![0-9]))[^{_BREAKS}]+)*")
+_BREAK = re.compile(f"[{_BREAKS}]")
 #: Up to so many plain words between two odd words belong to one sequence; else each takes REACH of them.
 GAP, REACH = 5, 3
 #: Padded cells of a batch for Viterbi at most (one sequence at least).
@@ -414,10 +420,10 @@ def _before(text: str, a: int, reach: int, most: int) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     end = a
     for _ in range(most):
-        while end > reach and text[end - 1].isspace():
+        while end > reach and _BREAK.match(text[end - 1]):
             end -= 1
         start = end
-        while start > reach and not text[start - 1].isspace():
+        while start > reach and not _BREAK.match(text[start - 1]):
             start -= 1
         if start == end:
             break
@@ -426,7 +432,7 @@ def _before(text: str, a: int, reach: int, most: int) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-_NEXT = re.compile(r"\s+(\S+)")
+_NEXT = re.compile(f"[{_BREAKS}]+({_INNER})")
 
 
 def _after(text: str, b: int, most: int) -> list[tuple[int, int]]:
@@ -481,8 +487,7 @@ _FIELDS: dict = {}
 
 
 def _worker_field(shared) -> Field:
-    vocabulary, theta = shared.value
-    key = id(shared.value)
+    key, vocabulary, theta = shared.value
     if key not in _FIELDS:
         _FIELDS.clear()
         _FIELDS[key] = Field(vocabulary, theta)
@@ -490,8 +495,9 @@ def _worker_field(shared) -> Field:
 
 
 def _shared(docs: DataFrame, labelled: DataFrame | None):
+    """The model under a name of its own: workers that are used again keep it by that."""
     f = trained(labelled)
-    return docs.sparkSession.sparkContext.broadcast((f.vocabulary, [f.here, f.before, f.after, f.step, f.first]))
+    return docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, f.vocabulary, [f.here, f.before, f.after, f.step, f.first]))
 
 
 def find(docs: DataFrame, labelled: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -60,6 +60,38 @@ def test_shapes_are_of_whole_words():
     assert pii.spans(field, [f"write to {mail} today"]) == [[(9, 9 + len(mail), "EMAIL")]]
 
 
+def test_addresses_within_lines_without_blanks():
+    field, mail = pii.default_field(), "some.one@mail.example.com"
+    for before, after in (('{"a":1,"mail":"', '","b":[2,3]}'), ("x" * 150 + ",", "," + "y" * 150), ("name;", ";4111111111111111;end"), ("<td>", "</td>")):
+        at = len(before)
+        assert (at, at + len(mail), "EMAIL") in pii.spans(field, [before + mail + after])[0], before
+    assert pii.spans(field, ["they paid 1,234,567 for 12,500 of 3,400 units"]) == [[]]
+
+
+def test_the_personal_data_query_against_whole_paths(spark, sf_dir, docs):
+    """Every word of every text through a plain Viterbi, nothing cut."""
+    field = pii.fit([tuple(r) for r in pii.labelled_rows()])
+    want = {}
+    for k, t in docs.items():
+        words = [m.span() for m in pii.WORD.finditer(t or "")]
+        if not words:
+            continue
+        score = field.scores(np.array([[field.word(t[a:b]) for a, b in words]]))[0]
+        best, back = field.first + score[0], []
+        for row in score[1:]:
+            ways = best[:, None] + field.step
+            back.append(ways.argmax(0))
+            best = ways.max(0) + row
+        path = [int(best.argmax())]
+        for b in back[::-1]:
+            path.append(int(b[path[-1]]))
+        own = pii._found(t, words, np.array(path[::-1]))
+        if own:
+            want[k] = own
+    got = {r.doc_id: [tuple(x) for x in r.spans] for r in queries()["op1_pii"](spark, sf_dir).collect()}
+    assert got == want and want
+
+
 def test_viterbi_is_the_best_path():
     field, rng = pii.default_field(), np.random.default_rng(3)
     score = rng.normal(size=(4, 4, len(pii.LABELS)))
