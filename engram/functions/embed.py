@@ -39,15 +39,25 @@ class HashingEmbedder(Embedder):
         return out
 
 
-def embed_column(text: Column, make: Callable[[], Embedder]) -> Column:
+def _singly(own: Embedder, texts: list[str]) -> list[list[float] | None]:
+    out: list[list[float] | None] = []
+    for t in texts:
+        try:
+            out.append(own.embed(t))
+        except Exception:  # whatever a model raises
+            out.append(None)
+    return out
+
+
+def embed_column(text: Column, make: Callable[[], Embedder], singly: bool = False) -> Column:
     """array<float> of each text, by Arrow batches; ``make`` builds the embedder once a worker's run of batches. Null stays
-    null."""
+    null. ``singly``: one text at a time, null for those at which the embedder fails."""
 
     def run(batches):
         own = make()
         for texts in batches:
             some = [t for t in texts if t is not None]
-            found = iter(own.embed_batch(some) if some else [])
+            found = iter(_singly(own, some) if singly else own.embed_batch(some) if some else [])
             yield pd.Series([None if t is None else next(found) for t in texts])
 
     from collections.abc import Iterator

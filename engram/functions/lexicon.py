@@ -29,18 +29,28 @@ def normal(text: str) -> str:
     return text.lower().replace("'", "")
 
 
-def is_negated(before: str) -> bool:
-    """Whether one of the last words of the normalised text in front of a hit negates it; a part of a word that the
-    hit begins in counts as a word."""
-    return any(w.rstrip(string.punctuation) in NEGATORS for w in before.split()[-LOOK_BACK:])
+def is_negated(text: str, end: int | None = None) -> bool:
+    """Whether one of the last words of the normalised text in front of a hit at ``end`` negates it; a part of a word that the
+    hit begins in counts as a word. Only those words are looked at, backwards from the hit."""
+    at = len(text) if end is None else end
+    for _ in range(LOOK_BACK):
+        while at and text[at - 1].isspace():
+            at -= 1
+        last = at
+        while at and not text[at - 1].isspace():
+            at -= 1
+        if at == last:
+            return False
+        if text[at:last].rstrip(string.punctuation) in NEGATORS:
+            return True
+    return False
 
 
 def occurs(text: str, pattern: str) -> bool:
     """Whether ``pattern`` stands in ``text``, both normalised, at least once without being negated."""
     at = text.find(pattern)
     while at >= 0:
-        # the last words lie within what the longest negators and blanks need; a longer word is none of them
-        if not is_negated(text[:at]):
+        if not is_negated(text, at):
             return True
         at = text.find(pattern, at + 1)
     return False

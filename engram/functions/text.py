@@ -42,9 +42,13 @@ def tokenize(c: Column, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
     return F.filter(words, lambda w: (w != "") & ~w.isin(*stop_words) if stop_words else w != "")
 
 
+#: What lies between index terms, and the size from which a run of letters and digits is none.
+ITEMS, TERM_BYTES = "[^\\p{L}\\p{N}]+", 40
+
+
 def terms(c: Column) -> Column:
-    """Index terms: runs of Unicode letters and digits, lower case, under 40 bytes."""
-    return F.filter(F.split(F.lower(c), "[^\\p{L}\\p{N}]+"), lambda w: (w != "") & (F.octet_length(w) < 40))
+    """Index terms: runs of Unicode letters and digits, lower case, under TERM_BYTES bytes."""
+    return F.filter(F.split(F.lower(c), ITEMS), lambda w: (w != "") & (F.octet_length(w) < TERM_BYTES))
 
 
 def ngrams(tokens: Column, n: int) -> Column:

@@ -15,24 +15,35 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_type as to_spark_type
 
 from engram.functions import scoring
 from engram.functions.lexicon import Scorer
-from engram.functions.text import estimate_tokens, terms
+from engram.functions.text import ITEMS, TERM_BYTES, estimate_tokens, terms
 from engram.schema import CLAMP, HALF_LIFE
 
 #: A query for everything, newest first.
 MATCH_ALL = "*"
 K1, B = 1.2, 0.75
+#: Up to so many terms of queries pick the row groups that are read of a kept index. Beyond, up to so many pairs of query and term go over its
+#: documents as a matrix; more of them are joined.
+FEW_TERMS, PAIRS = 64, 200_000
 
 
 @dataclass(frozen=True)
 class Index:
     """``postings`` (term, id, tf, dl, scope), one row a term and document; ``documents`` (id, dl, scope), also those without
-    terms. Both are plans: what isn't written or cached is computed when it is used."""
+    terms. Both are plans: what isn't written or cached is computed when it is used. A kept index also has ``frequencies``
+    (term, df), ``totals`` (n, avgdl) and ``forward`` (id, scope, dl, terms, tfs), a row a document: a few terms are looked up in the
+    postings, tables of queries go over the documents once.
+
+    Terms of 40 bytes and more aren't indexed, in texts or queries."""
 
     postings: DataFrame
     documents: DataFrame
+    frequencies: DataFrame | None = None
+    totals: DataFrame | None = None
+    forward: DataFrame | None = None
 
     @classmethod
     def build(cls, entries: DataFrame) -> Index:
@@ -44,21 +55,95 @@ class Index:
         return cls(each.select("term", "id", count(F.col("term")).alias("tf"), "dl", "scope"), documents)
 
     @classmethod
-    def counted(cls, entries: DataFrame) -> Index:
-        """The same index for long texts: terms are counted by a shuffle in place of a scan of the row for each."""
-        own = entries.select("id", "scope", terms(F.col("content")).alias("terms"))
-        each = own.select("id", "scope", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
-        return cls(each.groupBy("id", "scope", "dl", "term").agg(F.count("*").cast("int").alias("tf")).select("term", "id", "tf", "dl", "scope"), own.select("id", F.size("terms").alias("dl"), "scope"))
+    def counted(cls, entries: DataFrame, *also: str) -> Index:
+        """The same index for long texts: terms are counted by a shuffle in place of a scan of the row for each. ``also``: further columns
+        to carry along."""
+        own = entries.select("id", "scope", *also, terms(F.col("content")).alias("terms"))
+        each = own.select("id", "scope", *also, F.size("terms").alias("dl"), F.explode("terms").alias("term"))
+        counted = each.groupBy("id", "scope", *also, "dl", "term").agg(F.count("*").cast("int").alias("tf"))
+        return cls(counted.select("term", "id", "tf", "dl", "scope", *also), own.select("id", F.size("terms").alias("dl"), "scope", *also))
 
-    def write(self, path: str) -> Index:
-        """As Parquet, postings in ranges of terms, so that a query reads the row groups of its terms only."""
-        self.postings.repartitionByRange("term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
-        self.documents.write.mode("overwrite").parquet(f"{path}/documents")
-        return self.read(self.postings.sparkSession, path)
+    @classmethod
+    def write(cls, entries: DataFrame, path: str, inverted: bool = True) -> Index:
+        """As Parquet, postings in ranges of terms, so that a query reads the row groups of its terms only. Texts are split once, and
+        counted within their rows; all else comes from what was written. Without ``inverted`` no postings are written, which tables of
+        queries don't need."""
+        spark = entries.sparkSession
+        own = entries.select("id", "scope", F.split(F.lower("content"), ITEMS).alias("ts"))
+        id_type = own.schema["id"].dataType.simpleString()
+        counted = own.mapInArrow(_count_terms, f"id {id_type}, scope string, dl int, terms array<string>, tfs array<int>")
+        counted.write.mode("overwrite").parquet(f"{path}/forward")
+        forward = spark.read.parquet(f"{path}/forward")
+        if inverted:
+            _postings(forward).repartitionByRange("term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
+        forward.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/frequencies")
+        forward.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{path}/totals")
+        return cls.read(spark, path, inverted)
 
     @classmethod
-    def read(cls, spark, path: str) -> Index:
-        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/documents"))
+    def read(cls, spark, path: str, inverted: bool = True) -> Index:
+        frequencies, totals, forward = (spark.read.parquet(f"{path}/{part}") for part in ("frequencies", "totals", "forward"))
+        postings = spark.read.parquet(f"{path}/postings") if inverted else _postings(forward)
+        return cls(postings, forward.select("id", "dl", "scope"), frequencies, totals, forward)
+
+
+def _postings(forward: DataFrame) -> DataFrame:
+    pairs = forward.select("id", "dl", "scope", F.explode(F.arrays_zip("terms", "tfs")).alias("p"))
+    return pairs.select("p.terms", "id", "p.tfs", "dl", "scope").toDF("term", "id", "tf", "dl", "scope")
+
+
+def _count_terms(batches):
+    """(id, scope, dl, terms, tfs) from (id, scope, items): what ``terms`` gives, counted within each row."""
+    for b in batches:
+        lists = b.column(2)
+        flat = lists.flatten()
+        row = np.repeat(np.arange(b.num_rows), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        size = pc.binary_length(flat).to_numpy(zero_copy_only=False)
+        use = (size > 0) & (size < TERM_BYTES)
+        row, coded = row[use], flat.filter(pa.array(use)).dictionary_encode()
+        n = max(1, len(coded.dictionary))
+        key, tf = np.unique(row * n + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+        bounds = pa.array(np.searchsorted(key // n, np.arange(b.num_rows + 1)).astype(np.int32))
+        held = [pa.ListArray.from_arrays(bounds, x) for x in (coded.dictionary.take(pa.array(key % n)), pa.array(tf.astype(np.int32)))]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.bincount(row, minlength=b.num_rows).astype(np.int32)), *held], names=["id", "scope", "dl", "terms", "tfs"])
+
+
+def _best_of(index: Index, asked: pa.Table, k: int, scope: str | None, k1: float, b: float) -> DataFrame:
+    """(query_id, id, score) of each batch's ``k`` best documents for each of the queries ``asked`` (query_id, term, qn), by products of
+    its weights with a matrix of terms x documents."""
+    spark = index.forward.sparkSession
+    words, codes = (lambda e: (e.dictionary, e.indices.to_numpy()))(asked.column("term").combine_chunks().dictionary_encode())
+    queries, columns = (lambda e: (e.dictionary, e.indices.to_numpy()))(asked.column("query_id").combine_chunks().dictionary_encode())
+    wanted = F.broadcast(spark.createDataFrame(pa.table({"term": words})))
+    found = {r.term: r.df for r in index.frequencies.join(wanted, "term", "left_semi").collect()}
+    n, avgdl = index.totals.first()
+    df = np.array([found.get(w, 0) for w in words.to_pylist()], np.float64)
+    weights = asked.column("qn").to_numpy() * np.log(1 + (n - df[codes] + 0.5) / (df[codes] + 0.5))
+    each = [(codes[columns == q], weights[columns == q]) for q in range(len(queries))]
+    shared = spark.sparkContext.broadcast((words, queries, each))
+    rows = in_scope(index.forward, scope).select("id", "dl", "terms", "tfs")
+    out = T.StructType([T.StructField("query_id", to_spark_type(queries.type)), T.StructField("id", rows.schema["id"].dataType), T.StructField("score", T.DoubleType())])
+
+    def run(batches):
+        words, queries, each = shared.value
+        step = max(1, CELLS // max(len(words), len(queries)))
+        for batch in batches:
+            for low in range(0, batch.num_rows, step):
+                part = batch.slice(low, step)
+                lists = part.column(2)
+                row = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy())
+                at = pc.index_in(lists.flatten(), value_set=words).fill_null(-1).to_numpy(zero_copy_only=False)
+                tf, dl = part.column(3).flatten().to_numpy()[at >= 0], part.column(1).to_numpy()
+                row, at = row[at >= 0], at[at >= 0]
+                matrix = np.zeros((len(words), part.num_rows))
+                matrix[at, row] = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[row] / avgdl))
+                score = np.stack([w @ matrix[c] for c, w in each])
+                score = np.where(score > 0, np.round(score, 9), -np.inf)  # a term in common counts more than 0
+                most = min(k, part.num_rows)
+                q, i = np.nonzero((score >= np.partition(score, part.num_rows - most, 1)[:, [part.num_rows - most]]) & np.isfinite(score))
+                yield pa.RecordBatch.from_arrays([queries.take(pa.array(q)), part.column(0).take(pa.array(i)), pa.array(score[q, i])], names=["query_id", "id", "score"])
+
+    return rows.mapInArrow(run, out)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -83,12 +168,23 @@ def bm25(index: Index, queries: DataFrame, k: int = scoring.CANDIDATES, scope: s
     A query without terms has no rows.
     """
     asked = query_terms(queries)
-    hits = index.postings.join(asked, "term")
-    frequent = index.postings.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    total = index.documents.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    postings = index.postings
+    words = [r.term for r in asked.select("term").distinct().limit(FEW_TERMS + 1).collect()]
+    if len(words) <= FEW_TERMS:  # of written postings only these terms' row groups are read; beyond it the join finds them
+        postings = postings.where(F.col("term").isin(words))
+    elif index.forward is not None:
+        few = asked.limit(PAIRS + 1).toArrow()
+        if few.num_rows <= PAIRS and len(few.column("query_id").unique()) <= SHARED_QUERIES:
+            return top(_best_of(index, few, k, scope, k1, b), k, ["query_id"], F.desc("score"), F.col("id"))
+    hits = postings.join(asked, "term")
+    if index.frequencies is not None:
+        frequent = index.frequencies.join(asked.select("term").distinct(), "term", "left_semi")
+    else:
+        frequent = postings.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    total = index.totals if index.totals is not None else index.documents.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("qn") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = in_scope(hits, scope).join(frequent, "term").crossJoin(total).groupBy("query_id", "id").agg(F.round(F.sum(weight), 9).alias("score"))
+    scored = in_scope(hits, scope).join(frequent, "term").crossJoin(F.broadcast(total)).groupBy("query_id", "id").agg(F.round(F.sum(weight), 9).alias("score"))
     return top(scored, k, ["query_id"], F.desc("score"), F.col("id"))
 
 
@@ -246,12 +342,20 @@ def pack(df: DataFrame, budget: int, by: list[str], order: list[Column], cost: s
     return walked.join(kept, [*by, "_at"]).drop("_at")
 
 
-def assemble(entries: DataFrame, queries: DataFrame, budget: int, now: int, *, scope: str | None = None, embeddings: DataFrame | None = None, scorer: Scorer | None = None, index: Index | None = None, half_life: float = HALF_LIFE, clamp: float = CLAMP, k: int = scoring.CANDIDATES) -> DataFrame:
-    """The entries that answer each query (query_id, text and, for semantic search, embedding) within ``budget`` tokens.
+def assemble(
+    entries: DataFrame, queries: DataFrame, budget: int, now: int, *, scope: str | None = None, embeddings: DataFrame | None = None, scorer: Scorer | None = None,
+    index: Index | None = None, searcher=None, half_life: float = HALF_LIFE, clamp: float = CLAMP, k: int = scoring.CANDIDATES,
+) -> DataFrame:
+    """The entries that answer each query (query_id, text and, for semantic search, embedding) within ``budget`` tokens. Candidates come from
+    ``searcher`` if there is one (see ``sources.store.Searcher``), else from ``index`` or the entries, and ``embeddings``.
 
     What comes back is text that others wrote: give it to a model as quoted data, never as instructions.
     """
-    words = lexical(entries, queries, k, scope, index)
-    vectors = None if embeddings is None or "embedding" not in queries.columns else semantic(embeddings, queries, k, scope)
+    if searcher is not None:
+        words = searcher.search(queries, k, scope)
+        vectors = searcher.search_semantic(queries, k, scope) if "embedding" in queries.columns else None
+    else:
+        words = lexical(entries, queries, k, scope, index)
+        vectors = None if embeddings is None or "embedding" not in queries.columns else semantic(embeddings, queries, k, scope)
     ranked = rank(fuse(words, vectors), entries, now, scorer, half_life, clamp)
     return pack(ranked, budget, ["query_id"], [F.col("rank")])

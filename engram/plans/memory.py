@@ -21,8 +21,9 @@ from engram.functions.lexicon import ENGLISH, CompositeScorer, Lexicon, LexiconS
 from engram.functions.scrub import scrub
 from engram.functions.text import estimate_tokens
 from engram.operators import search
+from engram.operators.graph import checkpointed
 from engram.schema import ENTRY, Config, EngramError, InvalidEntry, StorageError
-from engram.sources.store import Storage, Store
+from engram.sources.store import Searcher, Storage, Store
 
 log = logging.getLogger(__name__)
 
@@ -54,7 +55,8 @@ class Memory:
     """``clock``: seconds since 1970. Texts are scrubbed of secrets before they are saved, unless the configuration says
     otherwise."""
 
-    def __init__(self, spark: SparkSession, storage: Storage, config: Config = Config(), scorer: Scorer | None = None, embedder: Callable[[], Embedder] | None = None, clock: Callable[[], float] = time.time):
+    def __init__(self, spark: SparkSession, storage: Storage, config: Config = Config(), scorer: Scorer | None = None, embedder: Callable[[], Embedder] | None = None, clock: Callable[[], float] = time.time, searcher: Searcher | None = None):
+        self.searcher = searcher
         self.spark, self.storage, self.config, self.scorer, self.embedder, self.clock = spark, storage, config.sane(), scorer, embedder, clock
 
     # -- writing
@@ -111,7 +113,7 @@ class Memory:
         config = self.config
         return search.assemble(
             self.storage.entries(), queries, config.token_budget if budget is None else budget, int(self.clock()) if now is None else now,
-            scope=scope, embeddings=vectors, scorer=self.scorer, half_life=config.recency_half_life_secs, clamp=config.lexicon_clamp,
+            scope=scope, embeddings=vectors, scorer=self.scorer, index=None if self.searcher else self.storage.index(), searcher=self.searcher, half_life=config.recency_half_life_secs, clamp=config.lexicon_clamp,
         )
 
     # -- keeping
@@ -128,24 +130,34 @@ class Memory:
     def count(self) -> int:
         return self.storage.count()
 
-    def backfill_embeddings(self, batch: int = 10_000, progress: Callable[[int], None] | None = None) -> int:
-        """Embeds entries that have no embedding, ``batch`` (1 at least) in each write. Returns how many; errors of the embedder end
-        it. ``progress`` gets the number so far."""
+    def backfill_embeddings(self, batch: int = 10_000, progress: Callable[[int, int], None] | None = None) -> int:
+        """Embeds the entries that have no embedding, in writes of about ``batch`` (1 at least) by the hash of their ids; nothing is collected.
+        Returns how many were embedded; ``progress`` gets the number so far and the total. A write that fails is tried again row by
+        row, so that a text that can't be embedded only costs itself; if none can, that is an error."""
         if self.embedder is None:
             return 0
-        done = 0
-        while True:
-            rows = self.storage.unembedded(max(1, batch)).select("id", "content").collect()  # a batch
-            if not rows:
-                return done
-            before = self.storage.embeddings().count()
-            some = self.spark.createDataFrame(rows, "id string, content string")
-            self.storage.save_embeddings(some.select("id", embed_column(F.col("content"), self.embedder).alias("embedding")))
-            if self.storage.embeddings().count() == before:
-                raise StorageError("no embedding could be saved")
-            done += len(rows)
+        missing = checkpointed(self.storage.unembedded().select("id", "content"))
+        total, done = missing.count(), 0
+        parts = -(-total // max(1, batch))
+        for i in range(parts):
+            part = missing.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == i)
+            try:
+                saved = self._embed(part, False)
+            except Exception as e:
+                log.warning("a write of embeddings failed, its rows are tried one by one: %s", e)
+                saved = self._embed(part, True)
+            done += saved
             if progress:
-                progress(done)
+                progress(done, total)
+        if total and not done:
+            raise StorageError("no embedding could be saved")
+        return done
+
+    def _embed(self, rows: DataFrame, singly: bool) -> int:
+        """Number of embeddings saved of rows (id, content)."""
+        made = checkpointed(rows.select("id", embed_column(F.col("content"), self.embedder, singly).alias("embedding")).where("embedding is not null"))
+        self.storage.save_embeddings(made)
+        return made.count()
 
 
 class MemoryBuilder:
@@ -156,6 +168,7 @@ class MemoryBuilder:
         self._embedder: Callable[[], Embedder] | None = None
         self._storage: Storage | None = None
         self._clock: Callable[[], float] = time.time
+        self._searcher: Searcher | None = None
 
     def config(self, **changes) -> MemoryBuilder:
         self._config = replace(self._config, **changes)
@@ -178,6 +191,11 @@ class MemoryBuilder:
         self._scorers.append(scorer)
         return self
 
+    def searcher(self, searcher: Searcher) -> MemoryBuilder:
+        """Where candidates come from, in place of the storage's index and embeddings."""
+        self._searcher = searcher
+        return self
+
     def embedder(self, make: Callable[[], Embedder]) -> MemoryBuilder:
         """``make`` is called where rows are embedded."""
         self._embedder = make
@@ -193,7 +211,7 @@ class MemoryBuilder:
             raise EngramError("a path or a storage is needed")
         storage = self._storage or Store(self.spark, config.path, config.max_entries)
         scorer = None if not self._scorers else self._scorers[0] if len(self._scorers) == 1 else CompositeScorer(self._scorers)
-        return Memory(self.spark, storage, config, scorer, self._embedder, self._clock)
+        return Memory(self.spark, storage, config, scorer, self._embedder, self._clock, self._searcher)
 
 
 def open_memory(spark: SparkSession, path: str, **config) -> Memory:

@@ -57,12 +57,12 @@ def _scored(df: DataFrame) -> DataFrame:
 
 @query(f"WITH {_bm25_sql()} SELECT query_id, id, score, rank FROM w")
 def bm25_topk(spark, sf):
-    return _scored(search.bm25(search.Index.counted(tables.documents(spark, sf)), tables.benchmark(spark, sf)))
+    return _scored(search.bm25(tables.index(spark, sf), tables.benchmark(spark, sf)))
 
 
 @query(f"WITH {_bm25_sql("WHERE scope = 'fr'")} SELECT query_id, id, score, rank FROM w")
 def bm25_scoped(spark, sf):
-    return _scored(search.bm25(search.Index.counted(tables.documents(spark, sf)), tables.benchmark(spark, sf), scope="fr"))
+    return _scored(search.bm25(tables.index(spark, sf), tables.benchmark(spark, sf), scope="fr"))
 
 
 @query(f"WITH e AS (SELECT {tables.TURNS} FROM conversations) SELECT id, timestamp, 1.0 AS score, row_number() OVER (ORDER BY timestamp DESC, id) AS rank FROM e QUALIFY rank <= 50")
@@ -91,7 +91,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 
 
 def _fused(spark, sf):
-    words = search.bm25(search.Index.counted(tables.documents(spark, sf)), tables.benchmark(spark, sf))
+    words = search.bm25(tables.index(spark, sf), tables.benchmark(spark, sf))
     return search.fuse(words, search.semantic(tables.document_embeddings(spark, sf), tables.benchmark(spark, sf)))
 
 
@@ -116,7 +116,7 @@ packed AS (SELECT p.query_id, r.id, p.rank, p.used, row_number() OVER (PARTITION
 
 
 def _assembled(spark, sf):
-    return search.assemble(tables.documents(spark, sf), tables.benchmark(spark, sf), BUDGET, NOW, embeddings=tables.document_embeddings(spark, sf))
+    return search.assemble(tables.documents(spark, sf), tables.benchmark(spark, sf), BUDGET, NOW, embeddings=tables.document_embeddings(spark, sf), index=tables.index(spark, sf))
 
 
 @query(f"WITH RECURSIVE {_PACKED} SELECT query_id, id, rank, used, place FROM packed")
@@ -134,7 +134,7 @@ each AS (SELECT query_id, k, found / n AS recall, CASE WHEN n IS NOT NULL THEN d
 
 
 def _each(spark, sf):
-    found = search.bm25(search.Index.counted(tables.documents(spark, sf)), tables.benchmark(spark, sf)).withColumnRenamed("id", "item")
+    found = search.bm25(tables.index(spark, sf), tables.benchmark(spark, sf)).withColumnRenamed("id", "item")
     return metrics.recall_and_ndcg(found, tables.gold(spark, sf), tables.benchmark(spark, sf))
 
 
@@ -253,7 +253,7 @@ def tokenize_terms(spark, sf):
     return recurrence.count_terms(own, "tokens", "lang")
 
 
-_SESSION_TOKENS = f"""t AS (SELECT conv_id, turn, {_tokens_sql('text')} AS ts FROM conversations), s AS (SELECT conv_id, flatten(list(ts ORDER BY turn)) AS ts FROM t GROUP BY conv_id), g AS (SELECT conv_id, unnest({_grams_sql('ts')}) AS term FROM s)"""
+_SESSION_TOKENS = f"""t AS (SELECT conv_id, turn, {_tokens_sql('text')} AS ts FROM conversations), s AS (SELECT conv_id, flatten(list(ts ORDER BY turn)) AS ts FROM t GROUP BY conv_id), g AS MATERIALIZED (SELECT conv_id, unnest({_grams_sql('ts')}) AS term FROM s)"""
 
 
 def _session_tokens(spark, sf):
@@ -266,12 +266,13 @@ def ngram_counts(spark, sf):
 
 
 _RECURRENCE = f"""{_SESSION_TOKENS}, c AS (SELECT term, count(DISTINCT conv_id) AS session_frequency FROM g GROUP BY 1), k AS (SELECT term, session_frequency, session_frequency / (SELECT count(*) FROM s) AS recurrence_score FROM c WHERE session_frequency >= 2),
-b AS (SELECT * FROM k WHERE recurrence_score <= 0.8), rec AS (SELECT * FROM b WHERE term NOT IN (SELECT unnest(string_split(term, ' ')) FROM b WHERE contains(term, ' ')))"""
+b AS MATERIALIZED (SELECT * FROM k WHERE recurrence_score <= 0.8), parts AS (SELECT DISTINCT unnest(string_split(term, ' ')) AS term FROM b WHERE contains(term, ' ')), rec AS (SELECT b.* FROM b ANTI JOIN parts USING (term))"""
 
 
-@query(f"WITH {_RECURRENCE} SELECT term, session_frequency, round(recurrence_score, 9) AS recurrence_score FROM rec")
+@query(f"WITH {_RECURRENCE} SELECT term, session_frequency, round(recurrence_score, 9) AS recurrence_score, row_number() OVER (ORDER BY recurrence_score DESC, session_frequency DESC, term) AS rank FROM rec")
 def recurring_terms(spark, sf):
-    return recurrence.recurrence(_session_tokens(spark, sf), session="session_id").withColumn("recurrence_score", F.round("recurrence_score", 9))
+    found = recurrence.ranked(recurrence.recurrence(_session_tokens(spark, sf), session="session_id"))
+    return found.withColumn("recurrence_score", F.round("recurrence_score", 9))
 
 
 # -- passages
@@ -438,11 +439,11 @@ def scale_budget(spark, sf):
 
 @query("""WITH f AS (SELECT user_id, event_id AS part, 0 AS pos, CASE WHEN event_id % 3 = 0 THEN 'state' ELSE 'decision' END AS kind, CASE WHEN event_id % 2 = 0 THEN ' ' || upper(event_type) ELSE event_type END AS text FROM events),
 d AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY user_id, kind, lower(trim(text)) ORDER BY part, pos) = 1), g AS (SELECT user_id, string_agg(kind || '=' || text, ';' ORDER BY part) AS facts FROM d GROUP BY 1),
-s AS (SELECT user_id, string_agg(event_type, chr(10) || chr(10) ORDER BY event_id) AS summary FROM events WHERE event_id % 50 = 0 GROUP BY 1), u AS (SELECT DISTINCT user_id FROM events) SELECT user_id, substr(coalesce(summary, ''), 1, 8192) AS summary, facts FROM u JOIN g USING (user_id) LEFT JOIN s USING (user_id)""")
+s AS (SELECT user_id, string_agg(event_type, chr(10) || chr(10) ORDER BY event_id) AS summary FROM events GROUP BY 1), u AS (SELECT DISTINCT user_id FROM events) SELECT user_id, substr(coalesce(summary, ''), 1, 8192) AS summary, facts FROM u JOIN g USING (user_id) LEFT JOIN s USING (user_id)""")
 def merge_facts(spark, sf):
     kind = F.when(F.col("event_id") % 3 == 0, "state").otherwise("decision")
     said = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit(" "), F.upper("event_type"))).otherwise(F.col("event_type"))
-    parts = table(spark, sf, "events").select("user_id", F.col("event_id").alias("part"), F.when(F.col("event_id") % 50 == 0, F.col("event_type")).otherwise("").alias("summary"), F.array(F.struct(kind.alias("kind"), said.alias("text"))).alias("facts"))
+    parts = table(spark, sf, "events").select("user_id", F.col("event_id").alias("part"), F.col("event_type").alias("summary"), F.array(F.struct(kind.alias("kind"), said.alias("text"))).alias("facts"))
     facts = F.array_join(F.transform("memory.facts", lambda f: F.concat(f["kind"], F.lit("="), f["text"])), ";")
     return merge_all(parts, "user_id").select("user_id", F.col("memory.summary").alias("summary"), facts.alias("facts"))
 

@@ -2,15 +2,45 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from engram.operators.graph import shared_folder
+from engram.operators.passages import phrase_hits
+from engram.operators.search import Index
+
 EPOCH = 1_700_000_000
 NOW = EPOCH + 1_000_000
 
 
+#: Tables of fewer bytes are spread over all cores, as they may be a single row group, which is one task.
+SMALL = 64 << 20
+_INDEXES: dict = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SMALL:
+        return df.repartition(spark.sparkContext.defaultParallelism)
+    return df
+
+
+def index(spark: SparkSession, sf_dir: str) -> Index:
+    """The search index of the documents, kept in the shared folder and made again when their files change."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files, state = fs.listFiles(path, True), []
+    while files.hasNext():
+        x = files.next()
+        state.append((x.getPath().toString(), x.getLen(), x.getModificationTime()))
+    key = (spark.sparkContext.applicationId, tuple(sorted(state)))
+    if key not in _INDEXES:
+        folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+        Index.write(documents(spark, sf_dir), folder, inverted=False)
+        _INDEXES[key] = folder
+    return Index.read(spark, _INDEXES[key], inverted=False)
 
 
 #: Column lists that are the same text in either dialect.
@@ -74,6 +104,6 @@ def document_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, item): documents that hold a benchmark passage as it is."""
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("phrase_id"), F.col("text").alias("phrase"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("item"), "text")
-    return docs.join(items, F.col("text").contains(F.col("passage"))).select("query_id", "item")
+    return phrase_hits(docs, items).select(F.col("phrase_id").alias("query_id"), "item")

@@ -61,6 +61,9 @@ class Log:
         try:
             rows.write.mode("error").parquet(f"{self.path}/{kind}-{version:012d}")
         except Exception as e:
+            if "PATH_ALREADY_EXISTS" not in str(e):  # what this write left behind would bar the version for the next one
+                fs, path = self._fs()
+                fs.delete(path(f"{self.path}/{kind}-{version:012d}"), True)
             raise StorageError(f"version {version} of {self.path} can't be written: {e}") from e
 
     def append(self, rows: DataFrame, gone: bool = False) -> int:

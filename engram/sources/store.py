@@ -44,6 +44,10 @@ class Storage(ABC):
     def unembedded(self, limit: int | None = None) -> DataFrame:
         return self.entries().limit(0)
 
+    def index(self) -> search.Index | None:
+        """A kept index for lexical search, if there is one."""
+        return None
+
     def newest(self, k: int) -> DataFrame:
         return self.entries().orderBy(F.desc("timestamp"), F.desc("id")).limit(k)
 
@@ -88,20 +92,18 @@ class Store(Storage, Searcher):
         return self._rows().drop("_v")
 
     def save(self, entries: DataFrame, ordinal: str | None = None) -> None:
-        """Inserts or replaces by id; of rows of one id the one with the greatest ``ordinal`` counts (without it, any). If there are more
-        than ``max_entries`` then, the oldest go."""
-        rows = checked(entries) if ordinal is None else None
-        if rows is None:
-            rows = checked(latest(entries, "id", ordinal))
-        else:
-            rows = rows.dropDuplicates(["id"])
+        """Inserts or replaces by id; of rows of one id the one with the greatest ``ordinal`` counts, without it the last in the table's
+        order. If there are more than ``max_entries`` then, the oldest go."""
+        if ordinal is None:
+            entries, ordinal = entries.withColumn("_ordinal", F.monotonically_increasing_id()), "_ordinal"
+        rows = checked(latest(entries, "id", ordinal))
         try:
             self._entries.append(rows)
         except Exception as e:
             if "invalid entry" in str(e):
                 raise InvalidEntry(str(e).split("invalid entry: ")[1].split("\n")[0]) from e
             raise
-        if self.max_entries is not None and self.count() > self.max_entries:
+        if self.max_entries is not None and not self._rows().select("id").offset(self.max_entries).isEmpty():
             self._entries.replace(retention.newest(self._rows(), self.max_entries))
 
     def delete(self, entry_id: str) -> bool:
@@ -140,8 +142,32 @@ class Store(Storage, Searcher):
     def unembedded(self, limit: int | None = None) -> DataFrame:
         return retention.unembedded(self.entries(), self.embeddings(), limit)
 
+    def index(self) -> search.Index:
+        """The kept index: a segment beside each folder of the log, made once, when it is first searched, from the folder's rows alone. Rows
+        that were replaced or deleted since are left out as it is read."""
+        folders = self._entries.folders()
+        fs, path = self._entries._fs()
+        for _, name in folders:
+            at = f"{self.path}/index/{name}"
+            if not fs.exists(path(f"{at}/documents/_SUCCESS")):
+                rows = self.spark.read.schema(self._entries.full).parquet(f"{self._entries.path}/{name}").where("not _gone")
+                made = search.Index.counted(rows, "_v")
+                made.postings.repartitionByRange("term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{at}/postings")
+                made.documents.write.mode("overwrite").parquet(f"{at}/documents")
+        if fs.exists(path(f"{self.path}/index")):
+            held = {name for _, name in folders}
+            for status in fs.listStatus(path(f"{self.path}/index")):
+                if status.getPath().getName() not in held:
+                    fs.delete(status.getPath(), True)
+        if not folders:
+            return search.Index.counted(self.entries())
+        parts = [self.spark.read.parquet(*[f"{self.path}/index/{name}/{kind}" for _, name in folders]) for kind in ("postings", "documents")]
+        live = self._rows().select("id", "_v")
+        postings, documents = (p.join(live, ["id", "_v"], "left_semi").drop("_v") for p in parts)
+        return search.Index(postings, documents)
+
     def search(self, queries: DataFrame, k: int, scope: str | None = None) -> DataFrame:
-        return search.lexical(self.entries(), queries, k, scope)
+        return search.lexical(self.entries(), queries, k, scope, self.index())
 
     def search_semantic(self, queries: DataFrame, k: int, scope: str | None = None) -> DataFrame:
         return search.semantic(self.embeddings(), queries, k, scope)

@@ -11,11 +11,10 @@ from engram.functions.text import estimate_tokens
 from engram.plans.memory import Memory
 
 
-def save_stream(entries: DataFrame, memory: Memory, checkpoint: str, once: bool = False, delay: str = "1 day") -> StreamingQuery:
-    """Saves a stream of entries into ``memory``. An entry that comes again within ``delay`` of event time is dropped before it is saved; a batch that is
-    run again after a failure replaces the same ids, so that nothing is saved twice."""
-    own = entries.withColumn("_at", F.timestamp_seconds("timestamp")).withWatermark("_at", delay).dropDuplicatesWithinWatermark(["id", "content"]).drop("_at")
-    out = own.writeStream.foreachBatch(lambda batch, _: memory.ingest(batch)).option("checkpointLocation", checkpoint)
+def save_stream(entries: DataFrame, memory: Memory, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Saves a stream of entries into ``memory``, however late they come. Saving is by id: an entry that comes again, or a batch that is run
+    again after a failure, replaces the same rows, so that nothing is saved twice; of an id's rows in one batch the last counts."""
+    out = entries.writeStream.foreachBatch(lambda batch, _: memory.ingest(batch)).option("checkpointLocation", checkpoint)
     return (out.trigger(availableNow=True) if once else out).start()
 
 

@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 from engram.functions.distill import Distiller, Fact
 from engram.functions.distill import Memory as Distilled
 from engram.functions.embed import Embedder, HashingEmbedder
+from engram.operators import search
 from engram.plans.importance import Importance, inject, segments
 from engram.plans.memory import MemoryBuilder, SaveOptions, open_memory, uuid7, uuid7_column
 from engram.schema import ENTRY, EngramError, InvalidEntry
 from engram.sources import datasets
-from engram.sources.store import Store
+from engram.sources.store import Searcher, Store
 from engram.streaming.ingest import save_stream, session_stream
 
 
@@ -108,11 +109,74 @@ def test_embedding_later(spark, tmp_path):
         broken.backfill_embeddings()
     seen: list = []
     m = MemoryBuilder(spark, path).embedder(lambda: HashingEmbedder(8)).build()
-    assert m.backfill_embeddings(3, seen.append) == 4 and seen == [3, 4] and m.storage.unembedded().count() == 0
+    assert m.backfill_embeddings(3, lambda done, total: seen.append((done, total))) == 4 and m.storage.unembedded().count() == 0
+    assert seen[-1] == (4, 4) and [d for d, _ in seen] == sorted(d for d, _ in seen) and {t for _, t in seen} == {4}
     with pytest.raises(EngramError):
         MemoryBuilder(spark).build()
 
 
+class Choosy(HashingEmbedder):
+    def embed_batch(self, texts):
+        if any("bad" in t for t in texts):
+            raise ValueError("bad text")
+        return super().embed_batch(texts)
+
+
+def test_a_text_that_cant_be_embedded_costs_only_itself(spark, tmp_path):
+    plain = open_memory(spark, str(tmp_path))
+    plain.save_batch([(t, "fact", SaveOptions()) for t in ("one", "two bad", "three")])
+    m = MemoryBuilder(spark, str(tmp_path)).embedder(lambda: Choosy(8)).build()
+    assert m.backfill_embeddings() == 2
+    assert [r.content for r in m.storage.unembedded().collect()] == ["two bad"]
+
+
+def test_the_last_row_of_an_id_counts(spark, tmp_path):
+    m = open_memory(spark, str(tmp_path))
+    rows_ = [("a", f"text {i}", i, "m", None, None, None, None) for i in range(40)] + [("b", "x", 1, "m", None, None, None, None)]
+    m.ingest(spark.createDataFrame(rows_, ENTRY).coalesce(1))
+    assert {r.id: r.content for r in m.storage.entries().collect()} == {"a": "text 39", "b": "x"}
+    m.storage.save(spark.createDataFrame([("a", "new", 2, 1), ("a", "old", 1, 1)], "id string, content string, ord int, timestamp bigint").withColumn("kind", F.lit("m")), ordinal="ord")
+    assert {r.id: r.content for r in m.storage.entries().collect()}["a"] == "new"
+
+
+def test_the_kept_index_follows_the_store(spark, tmp_path):
+    m = open_memory(spark, str(tmp_path))
+    ids = m.save_batch([("apple pie", "fact", SaveOptions(scope="x")), ("banana", "fact", SaveOptions()), ("apple", "fact", SaveOptions())])
+    ask = lambda text, **how: [r.content for r in m.query(text, **how).orderBy("rank").collect()]
+    assert sorted(ask("apple")) == ["apple", "apple pie"] and ask("apple", scope="x") == ["apple pie"]
+    segments_ = sorted(p.name for p in (tmp_path / "index").iterdir())
+    m.save("apple tart")
+    m.delete(ids[2])
+    assert sorted(ask("apple")) == ["apple pie", "apple tart"]
+    assert set(segments_) < {p.name for p in (tmp_path / "index").iterdir()}  # earlier segments stay as they are
+    entries_ = m.storage.entries()
+    want = search.bm25(search.Index.counted(entries_), spark.createDataFrame([("q", "apple tart pie")], "query_id string, text string")).collect()
+    got = m.storage.search(spark.createDataFrame([("q", "apple tart pie")], "query_id string, text string"), 50).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    m.clear_all()
+    assert ask("apple") == []
+
+
+def test_a_searcher_of_ones_own(spark, tmp_path):
+    class Fixed(Searcher):
+        def search(self, queries, k, scope=None):
+            return queries.select("query_id", F.lit(wanted).alias("id"), F.lit(1.0).alias("score"), F.lit(1).alias("rank"))
+
+    plain = open_memory(spark, str(tmp_path))
+    wanted = plain.save("nothing in common")
+    plain.save("the words of the query")
+    m = MemoryBuilder(spark, str(tmp_path)).searcher(Fixed()).build()
+    assert [r.content for r in m.query("words").collect()] == ["nothing in common"]
+
+
+def test_late_entries_are_saved(spark, tmp_path):
+    src, made = str(tmp_path / "in"), open_memory(spark, str(tmp_path / "m"))
+    for at in (10_000_000, 100):  # the second comes months later by its own time
+        rows(spark, (f"e{at}", "text", at, "p")).write.mode("append").parquet(src)
+        save_stream(spark.readStream.schema(ENTRY).parquet(src), made, str(tmp_path / "c"), once=True).awaitTermination(120)
+    assert {r.id for r in made.storage.entries().collect()} == {"e10000000", "e100"}
+
+
 def test_identifiers(spark):
     one = uuid7(1_700_000_000_000)
     many = [r[0] for r in spark.range(50).select(uuid7_column(1_700_000_000)).collect()]

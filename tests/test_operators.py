@@ -38,7 +38,25 @@ def test_index_on_disk(spark, tmp_path):
     e = entries(spark, ("a", "apple apple pie", 1, None, None, None), ("b", "pie", 2, None, None, None))
     idx = search.Index.build(e)
     want = [tuple(r) for r in search.bm25(idx, asked(spark, "apple pie")).collect()]
-    assert [tuple(r) for r in search.bm25(idx.write(str(tmp_path / "i")), asked(spark, "apple pie")).collect()] == want
+    kept = search.Index.write(e, str(tmp_path / "i"))
+    assert [tuple(r) for r in search.bm25(kept, asked(spark, "apple pie")).collect()] == want
+    assert kept.postings.exceptAll(idx.postings).isEmpty() and idx.postings.exceptAll(kept.postings).isEmpty()
+
+
+@pytest.mark.parametrize("scope", [None, "s1"])
+def test_tables_of_queries_as_single_ones(spark, tmp_path, monkeypatch, scope):
+    rng = random.Random(5)
+    word = lambda: f"w{min(rng.randint(0, 40), rng.randint(0, 40))}"
+    e = entries(spark, *[(f"d{i:03}", " ".join(word() for _ in range(rng.randint(0, 30))) + " " + "x" * 40, i, f"s{i % 3}", None, None) for i in range(120)])
+    q = asked(spark, *[" ".join(word() for _ in range(rng.randint(0, 6))) for _ in range(12)], "w1 w1 w2", "unknown", "x" * 40)
+    rows = lambda index: [tuple(r) for r in search.bm25(index, q, k=7, scope=scope).orderBy("query_id", "rank").collect()]
+    want = rows(search.Index.counted(e))
+    kept = search.Index.write(e, str(tmp_path / "i"))
+    assert rows(kept) == want and want
+    monkeypatch.setattr(search, "FEW_TERMS", 0)  # as a matrix
+    assert rows(kept) == want
+    monkeypatch.setattr(search, "PAIRS", 0)  # by joins
+    assert rows(kept) == want
 
 
 def test_everything(spark):
