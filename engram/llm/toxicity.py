@@ -21,13 +21,16 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from engram.llm.common import as_string, buffers, pick, place, positional, slices
+from engram.llm.common import as_string, buffers, cut, pick, place, positional, slices
 
 #: Labelled documents that are read to learn stems and the threshold, half of each class at most.
 LABELLED = 4_000
+#: Of stems and the threshold: see ``learn``.
+SHORTEST, LONGEST, RATIO, TEXTS, SURE, ALARMS = 3, 8, 4.0, 8, 1.64, 0.002
 _LOOK_ALIKE = {
     "а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "к": "k", "ӏ": "l", "м": "m", "н": "h", "о": "o", "р": "p", "ѕ": "s", "т": "t", "у": "y", "х": "x",
     "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ɑ": "a", "ɡ": "g", "ł": "l", "ø": "o", "đ": "d", "ß": "b",
@@ -131,39 +134,66 @@ class Matcher:
         return 100.0 * sum(w for *_, w in own) / max(n, self.least_words), len(own), n
 
 
+def _words(text: str) -> set[str]:
+    return set(re.findall(r"[^\W_]+", fold(text)))
+
+
 class _Copies:
     """Tells sets of words of which one before had the same least hashes in half of PERMUTATIONS orders: those of copies of one text, whose
     words would else count as so many witnesses."""
 
     PERMUTATIONS = 16
+    FACTORS = np.random.default_rng(5).integers(1 << 62, size=(PERMUTATIONS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def __init__(self) -> None:
-        rng = np.random.default_rng(5)
-        self.factors = rng.integers(1 << 62, size=(self.PERMUTATIONS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.seen: dict[tuple[int, int], list[int]] = {}
         self.number = 0
 
-    def has(self, words: set[str]) -> bool:
-        """Whether such a set was given before; remembers this one if not."""
+    @classmethod
+    def least(cls, words: set[str]) -> np.ndarray:
         own = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words] or [0], np.uint64)
-        mixed = (own ^ (own << np.uint64(32))) * self.factors
-        least = list(enumerate((mixed ^ (mixed >> np.uint64(31))).min(1).tolist()))
-        if any(n >= self.PERMUTATIONS // 2 for n in Counter(i for x in least for i in self.seen.get(x, ())).values()):
+        out = np.empty(cls.PERMUTATIONS, np.uint64)
+        for i, factor in enumerate(cls.FACTORS[:, 0]):  # one order at a time: the words of a long text are many
+            mixed = (own ^ (own << np.uint64(32))) * factor
+            out[i] = (mixed ^ (mixed >> np.uint64(31))).min()
+        return out
+
+    def has(self, least: np.ndarray) -> bool:
+        """Whether such a set was given before, by its ``least`` hashes; remembers this one if not."""
+        own = list(enumerate(least.tolist()))
+        if any(n >= self.PERMUTATIONS // 2 for n in Counter(i for x in own for i in self.seen.get(x, ())).values()):
             return True
-        for x in least:
+        for x in own:
             self.seen.setdefault(x, []).append(self.number)
         self.number += 1
         return False
 
 
+class _Halves:
+    """Shares each class out evenly to two halves, in the order given; of copies the first counts."""
+
+    def __init__(self) -> None:
+        self.seen, self.copies = [0, 0], (_Copies(), _Copies())
+
+    def take(self, least: np.ndarray, y: int) -> int | None:
+        if self.copies[y].has(least):
+            return None
+        self.seen[y] += 1
+        return (self.seen[y] - 1) % 2
+
+
 class _Evidence:
     """Of labelled texts: how many of each class have each word beginning. A text counts once, however often it has one."""
 
     def __init__(self) -> None:
         self.held, self.number = (Counter(), Counter()), [0, 0]
 
+    @staticmethod
+    def beginnings(words: set[str], shortest: int, longest: int) -> set[str]:
+        return {w[:k] for w in words for k in range(shortest, min(longest, len(w)) + 1)}
+
     def add(self, words: set[str], y: int, shortest: int, longest: int) -> None:
-        self.held[y].update({w[:k] for w in words for k in range(shortest, min(longest, len(w)) + 1)})
+        self.held[y].update(self.beginnings(words, shortest, longest))
         self.number[y] += 1
 
     def __add__(self, other: _Evidence) -> _Evidence:
@@ -189,8 +219,8 @@ class _Evidence:
 
 
 def learn(
-    rows: list[tuple[str, int]], base: Lexicon = GENERAL, shares: tuple[int, int] | None = None, shortest: int = 3, longest: int = 8,
-    ratio: float = 4.0, texts: int = 8, sure: float = 1.64, alarms: float = 0.002,
+    rows: list[tuple[str, int]], base: Lexicon = GENERAL, shares: tuple[int, int] | None = None, shortest: int = SHORTEST, longest: int = LONGEST,
+    ratio: float = RATIO, texts: int = TEXTS, sure: float = SURE, alarms: float = ALARMS,
 ) -> Lexicon:
     """Stems and threshold from (text, 0 or 1) rows.
 
@@ -202,15 +232,14 @@ def learn(
     rows = [(t, y) for t, y in rows if t and y in (0, 1)]
     if len({y for _, y in rows}) < 2:
         return base
-    general, known, seen, copies = Matcher(base), {}, [0, 0], (_Copies(), _Copies())
+    general, known, shared = Matcher(base), {}, _Halves()
     halves: tuple[list, list] = ([], [])
     evidence = (_Evidence(), _Evidence())
-    for text, y in rows:  # each class is shared out evenly
-        words = set(re.findall(r"[^\W_]+", fold(text)))
-        if copies[y].has(words):
+    for text, y in rows:
+        words = _words(text)
+        half = shared.take(_Copies.least(words), y)
+        if half is None:
             continue
-        half = seen[y] % 2
-        seen[y] += 1
         known.update((w, not general.hits(w)) for w in words if w not in known)
         evidence[half].add({w for w in words if known[w]}, y, shortest, longest)
         halves[half].append((text, y))
@@ -218,21 +247,35 @@ def learn(
     for own, other in zip(halves, evidence[::-1]):
         matcher = Matcher(replace(base, stems=other.stems(*how)))
         points += [(matcher.score(t)[0], y) for t, y in own]
+    return replace(base, stems=(evidence[0] + evidence[1]).stems(*how), threshold=_threshold(points, base, shared.seen, shares, alarms))
+
+
+def _threshold(points: list[tuple[float, int]], base: Lexicon, seen: list[int], shares: tuple[int, int] | None, alarms: float) -> float:
+    """From (score, class) of texts, ``seen`` of each class: see ``learn``."""
+    points = sorted(points, key=lambda x: (-x[0], -x[1]))
     weight = [s / n for s, n in zip(shares or seen, seen)]
-    points.sort(key=lambda x: (-x[0], -x[1]))
     all_toxic, hit, false, found = weight[1] * seen[1], 0.0, 0.0, []
     for i, (s, y) in enumerate(points):
         hit, false = hit + weight[1] * y, false + weight[0] * (1 - y)
         after = points[i + 1][0] if i + 1 < len(points) else 0.0
         if s > after and false <= alarms * weight[0] * seen[0]:
             found.append((round(2 * hit / (all_toxic + hit + false), 3), (s + after) / 2))
-    threshold = max(found)[1] if found else max([base.threshold, *(s for s, y in points if not y)])
-    return replace(base, stems=(evidence[0] + evidence[1]).stems(*how), threshold=round(threshold, 6))
+    return round(max(found)[1] if found else max([base.threshold, *(s for s, y in points if not y)]), 6)
+
+
+def _promising(d: Column, o: Column, toxic: int, clean: int) -> Column:
+    """Whether ``_Evidence.stems`` may take a beginning of ``d`` toxic and ``o`` clean texts; it decides itself, as logarithms differ in their last digits."""
+    d, o = d + F.lit(0.5), o + F.lit(0.5)
+    lift = F.log(d / F.lit(toxic + 1.0)) - F.log(o / F.lit(clean + 1.0))
+    return (d > TEXTS) & (lift - F.lit(SURE) * F.sqrt(1 / d + 1 / o) >= F.lit(math.log(RATIO) - 1e-6))
 
 
 def learned(docs: DataFrame, labels: DataFrame | None, most: int = LABELLED) -> Lexicon:
-    """``learn`` on labelled documents, ``most`` / 2 of each class: those with the least hash of their id. ``labels``:
-    (doc_id, toxic). Rows with a null are left out; of a document's labels the greatest counts."""
+    """``learn`` on labelled documents in the order of their ids, ``most`` / 2 of each class: those with the least hash of their id. ``labels``:
+    (doc_id, toxic). Rows with a null are left out; of a document's labels the greatest counts.
+
+    The texts stay with the executors, however long they are: they go to the shared checkpoint folder. The driver gets each text's least hashes and score
+    (``most`` rows at most) and the numbers of texts of those word beginnings that may become stems."""
     if labels is None:
         return GENERAL
     own = pick(labels, "doc_id", "toxic").where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -242,12 +285,73 @@ def learned(docs: DataFrame, labels: DataFrame | None, most: int = LABELLED) ->
     for y in (0, 1):
         half = own.where(F.col("toxic") == y).orderBy(order, "doc_id").limit(most // 2)
         chosen = half if chosen is None else chosen.unionByName(half)
-    ids = {r.doc_id: int(r.toxic) for r in chosen.collect()}
-    if not ids:
+    texts = pick(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id")  # most / 2 ids of each class
+    texts = texts.repartition(docs.sparkSession.sparkContext.defaultParallelism, "doc_id").groupBy("doc_id").agg(F.min("text").cast("string").alias("text"), F.min("toxic").cast("int").alias("toxic"))
+    texts = cut(texts.where("text != ''").select("doc_id", F.col("doc_id").cast("string").alias("name"), "toxic", "text"))
+
+    def hashes(batches):
+        for b in batches:
+            least = [_Copies.least(_words(t)).tobytes() for _, t in _each(b.column(3))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(least, pa.binary())], names=["doc_id", "name", "toxic", "least"])
+
+    hashed = texts.mapInArrow(hashes, T.StructType([*texts.schema[:3], T.StructField("least", T.BinaryType())]))
+    rows = sorted(hashed.collect(), key=lambda r: r.doc_id)  # most rows at most
+    if len({r.toxic for r in rows}) < 2:
         return GENERAL
-    texts = pick(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi")  # most / 2 ids of each class
-    rows = {r.doc_id: r.text for r in texts.groupBy("doc_id").agg(F.min("text").alias("text")).collect()}
-    return learn([(rows[i], ids[i]) for i in sorted(rows)], shares=(shares.get(0, 0), shares.get(1, 0)))
+    shared, evidence = _Halves(), (_Evidence(), _Evidence())
+    where: dict[str, int] = {}
+    for r in rows:
+        half = shared.take(np.frombuffer(r.least, np.uint64), r.toxic)
+        if half is not None:
+            where[r.name] = half
+            evidence[half].number[r.toxic] += 1
+
+    def beginnings(batches):
+        general, known, counts = Matcher(GENERAL), {}, Counter()
+
+        def counted():
+            keys = list(counts)
+            for at in range(0, len(keys), 100_000):
+                some = keys[at : at + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in some], pa.string()), pa.array([w for _, w in some], pa.int32()), pa.array([counts[k] for k in some], pa.int64())], names=["start", "which", "n"])
+            counts.clear()
+
+        for b in batches:
+            names, classes = b.column(1).to_pylist(), b.column(2).to_pylist()
+            for i, t in _each(b.column(3)):
+                if names[i] not in where:
+                    continue
+                words = _words(t)
+                if len(known) > 1_000_000:
+                    known.clear()
+                known.update((w, not general.hits(w)) for w in words if w not in known)
+                which = 2 * where[names[i]] + classes[i]
+                counts.update((k, which) for k in _Evidence.beginnings({w for w in words if known[w]}, SHORTEST, LONGEST))
+                if len(counts) > 500_000:
+                    yield from counted()
+        yield from counted()
+
+    held = [F.coalesce(F.sum(F.when(F.col("which") == i, F.col("n"))), F.lit(0)).alias(f"n{i}") for i in range(4)]
+    found = texts.mapInArrow(beginnings, "start string, which int, n bigint").groupBy("start").agg(*held)
+    (c0, t0), (c1, t1) = (e.number for e in evidence)
+    n = [F.col(f"n{i}") for i in range(4)]
+    found = found.where(_promising(n[1], n[0], t0, c0) | _promising(n[3], n[2], t1, c1) | _promising(n[1] + n[3], n[0] + n[2], t0 + t1, c0 + c1))
+    for r in found.collect():
+        for i in range(4):
+            evidence[i // 2].held[i % 2][r.start] = r[f"n{i}"]
+    how = (SHORTEST, LONGEST, RATIO, TEXTS, SURE)
+    other = [replace(GENERAL, stems=e.stems(*how)) for e in evidence[::-1]]
+
+    def scores(batches):
+        matchers = [Matcher(x) for x in other]
+        for b in batches:
+            names = b.column(1).to_pylist()
+            points = [(matchers[where[names[i]]].score(t)[0], i) for i, t in _each(b.column(3)) if names[i] in where]
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in points], pa.float64()), b.column(2).take(pa.array([i for _, i in points], pa.int64()))], names=["score", "toxic"])
+
+    points = [tuple(r) for r in texts.mapInArrow(scores, "score double, toxic int").collect()]  # most rows at most
+    threshold = _threshold(points, GENERAL, shared.seen, (shares.get(0, 0), shares.get(1, 0)), ALARMS)
+    return replace(GENERAL, stems=(evidence[0] + evidence[1]).stems(*how), threshold=threshold)
 
 
 _MATCHERS: dict = {}
@@ -260,12 +364,17 @@ def _matcher(lexicon: Lexicon) -> Matcher:
     return _MATCHERS[lexicon]
 
 
-def _scores(column: pa.Array, lexicon: Lexicon):
-    matcher = _matcher(lexicon)
+def _each(column: pa.Array):
+    """(place, text) of all texts; some megabytes of them are decoded at once."""
     column = as_string(column)
     for at, to in slices(np.diff(buffers(column)[0])):
-        for i, value in enumerate(column.slice(at, to - at).to_pylist(), at):
-            yield i, *(matcher.score(value) if value else (0.0, 0, 0))
+        yield from enumerate(column.slice(at, to - at).to_pylist(), at)
+
+
+def _scores(column: pa.Array, lexicon: Lexicon):
+    matcher = _matcher(lexicon)
+    for i, value in _each(column):
+        yield i, *(matcher.score(value) if value else (0.0, 0, 0))
 
 
 def flag(docs: DataFrame, lexicon: Lexicon = GENERAL, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from engram.llm import ann, licenses, packing, pieces, pii, quality, secrets, sharding, simhash, toxicity
 from engram.llm.common import table
@@ -379,6 +380,28 @@ def test_copies_count_once():
     assert any("vermin".startswith(s) or s.startswith("vermin") for s, _ in toxicity.learn(varied + rows).stems)
 
 
+def test_learning_on_executors_as_on_rows(spark, sf_dir):
+    folder = sf_dir.replace("sf0.001", "sf0.1")
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    rows = sorted((r.doc_id, r.text, r.toxic) for r in docs.join(labels, "doc_id").collect())
+    shares = tuple(sum(y == c for *_, y in rows) for c in (0, 1))
+    lexicon = toxicity.learned(docs, labels, most=2 * len(rows))
+    assert lexicon.stems and lexicon == toxicity.learn([(t, y) for _, t, y in rows], shares=shares)
+
+
+def test_labelled_texts_are_longer_than_the_driver_can_hold(spark):
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.expr("concat_ws(' ', transform(sequence(1, 5000), i -> md5(string(id * 5000 + i))), if(id % 2 = 0, 'nastyword', 'kindword'))").alias("text"))
+    labels = spark.range(60).select(F.col("id").alias("doc_id"), (1 - F.col("id") % 2).cast("int").alias("toxic"))
+    conf = spark.sparkContext._jsc.sc().conf()
+    before = conf.get("spark.driver.maxResultSize", "1g")
+    conf.set("spark.driver.maxResultSize", "1m")  # the texts have 10 MB
+    try:
+        lexicon = toxicity.learned(docs, labels)
+    finally:
+        conf.set("spark.driver.maxResultSize", before)
+    assert any("nastiword".startswith(s.replace("y", "i")) for s, _ in lexicon.stems)
+
+
 def test_learned_lexicon_on_held_out_labels(spark, sf_dir, docs):
     import duckdb
 
