@@ -2,13 +2,14 @@
 
 Each tree splits the unit sphere at medians, by one random direction a level. The medians come from a bounded sample of
 vectors, so the forest is small enough to broadcast; every vector is filed under one leaf of each tree. A query
-descends all trees with one shared priority queue: the branch that was crossed by the least margin comes
+descends all trees with one shared priority queue: the branch whose crossed margins have the least sum of squares comes
 first, whichever tree it is in, until the leaves taken hold ``enough`` members. Queries meet the leaves'
-members by a join, and all candidates are ranked by their exact distance.
+members by a join. Single precision tells which members may be among the nearest, and these are ranked by their exact distance.
 
 ``enough`` is measured: the true neighbours of PROBES vectors are found by one pass over all rows, and the queue goes as far as
 it must to meet the wanted share of them. Vectors with clusters need as many members whatever their number; those
-without any structure need a share of all, as there is nothing that an index could use.
+without any structure need a share of all, as there is nothing that an index could use. A member counts once for each tree that
+it is met in, and is filed once for each tree, so how many of the trees are used is measured as well: that number with which the work is least.
 
 Rows with equal vectors are one member with the k + 1 least of their ids, as no others can be among k nearest. Leaves with many members
 are cut in chunks and leaves that many queries visit in blocks, so no task holds more than MEMBERS x QUERIES.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import zlib
 from collections.abc import Callable
 
 import numpy as np
@@ -36,6 +38,8 @@ SAMPLE, PER_LEAF = 131_072, 8
 PROBES, RECALL = 64, 0.97
 #: Members and visits of queries that one task holds.
 MEMBERS, QUERIES = 16_384, 16_384
+#: Comparisons with a query for which filing a member in one more tree counts.
+FILED = 1_000
 #: Distances are rounded to so many digits: nearer ones are equal.
 DIGITS = 12
 
@@ -80,13 +84,23 @@ class Forest:
         return at - (self.leaves - 1) + tree * self.leaves
 
     def margins(self, p: np.ndarray) -> np.ndarray:
-        """For one vector's projections the greatest margin crossed on the way to each leaf, 0 to its own."""
-        worst = np.zeros((self.trees, 1))
+        """For one vector's projections the sum of the squared margins crossed on the way to each leaf, 0 to its own."""
+        crossed = np.zeros((self.trees, 1))
         for level in range(self.depth):
             low = 2**level - 1
             m = p[:, level, None] - self.splits[:, low : 2 * low + 1]
-            worst = np.stack([np.maximum(worst, m), np.maximum(worst, -m)], -1).reshape(self.trees, -1)
-        return worst.ravel()
+            crossed = np.stack([crossed + np.maximum(m, 0) ** 2, crossed + np.maximum(-m, 0) ** 2], -1).reshape(self.trees, -1)
+        return crossed.ravel()
+
+    def most(self, p: np.ndarray, sizes: np.ndarray, enough: int) -> np.ndarray:
+        """What ``search`` gives, by sorting all leaves: faster where most are taken."""
+        order = np.argsort(self.margins(p), kind="stable")
+        order = order[sizes[order] > 0]
+        return order[: np.searchsorted(np.cumsum(sizes[order]), enough) + 1]
+
+    def first(self, trees: int) -> Forest:
+        """Of the first trees only."""
+        return Forest(self.directions[:trees], self.splits[:trees])
 
     def search(self, p: np.ndarray, sizes: np.ndarray, enough: int) -> list[int]:
         """Leaves in the order of the shared queue, until they hold ``enough`` members. ``p``: one vector's projections."""
@@ -103,7 +117,7 @@ class Forest:
                 m = row[level] - own[node]
                 level += 1
                 right = m >= 0
-                heapq.heappush(queue, (max(crossed, abs(m)), t, level, 2 * node + 2 - right))
+                heapq.heappush(queue, (crossed + m * m, t, level, 2 * node + 2 - right))
                 node = 2 * node + 1 + right
             leaf = node - base + t * self.leaves
             if sizes[leaf]:
@@ -112,6 +126,18 @@ class Forest:
         return found
 
 
+def _packed(leaves: np.ndarray, number: int) -> bytes:
+    """Some of so many leaves, as compressed bits: a query may visit thousands."""
+    mask = np.zeros(number, bool)
+    mask[leaves] = True
+    return zlib.compress(np.packbits(mask).tobytes(), 1)
+
+
+def _unpacked(column: pa.Array) -> list[np.ndarray]:
+    """In order of the leaves' numbers."""
+    return [np.flatnonzero(np.unpackbits(np.frombuffer(zlib.decompress(x), np.uint8))) for x in column.to_pylist()]
+
+
 def _units(column: pa.Array, dims: int) -> np.ndarray:
     """Rows of length 1; scaled by the greatest number first, so that nothing overflows."""
     if isinstance(column, pa.ChunkedArray):
@@ -133,24 +159,30 @@ def clean(vectors: DataFrame, key: str, vector: str) -> tuple[DataFrame, int]:
     return own.where(F.size("v") == dims), dims
 
 
-def _places(members: np.ndarray, visits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each leaf its group (-1 if no query visits it), in how many chunks its members go and in how many blocks its queries. Small leaves go
-    together as long as they stay within MEMBERS and QUERIES."""
-    chunks, blocks = -(-members // MEMBERS), -(-visits // QUERIES)
-    group, number, held, asked = np.full(len(members), -1, np.int32), 0, 0, 0
+def _places(members: np.ndarray, visits: np.ndarray, queries: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each leaf its group (-1 if no query visits it), in how many chunks its members go and in how many blocks the queries of its group. Leaves go
+    together as long as they stay within MEMBERS, or a 16th of all up to four times as many: a query is sent to a group once, however many of its leaves it
+    visits, and each block of 4 QUERIES gets the members again. ``queries``: how many there are."""
+    limit = max(MEMBERS, min(4 * MEMBERS, int(members.sum()) // 16))
+    chunks = -(-members // limit)
+    group, number, held = np.full(len(members), -1, np.int32), 0, 0
     for i in np.flatnonzero((members > 0) & (visits > 0)).tolist():
-        big = chunks[i] > 1 or blocks[i] > 1
-        if (held or asked) and (big or held + members[i] > MEMBERS or asked + visits[i] > QUERIES):
-            number, held, asked = number + 1, 0, 0
+        if held and held + members[i] > limit:
+            number, held = number + 1, 0
         group[i] = number
-        held, asked = held + int(members[i]), asked + int(visits[i])
-        if big:
-            number, held, asked = number + 1, 0, 0
+        held += int(members[i])
+    some = group >= 0
+    asked = np.minimum(np.bincount(group[some], visits[some], number + 1).astype(np.int64), queries)
+    blocks = np.ones(len(members), np.int64)
+    blocks[some] = np.maximum(1, -(-asked // (4 * QUERIES)))[group[some]]
     return group, chunks, blocks
 
 
-def _nearest(asked: pa.Table, members: pa.Table, dims: int, most: int, kind: pa.DataType) -> pa.Table:
-    """The ``most`` nearest of the members in the leaves that each query visits, by distance and id."""
+def _nearest(asked: pa.Table, members: pa.Table, dims: int, most: int, kind: pa.DataType, leaves: int) -> pa.Table:
+    """The ``most`` nearest of the members in the leaves that each query visits, by distance and id. A tree has ``leaves`` leaves.
+
+    ``least``: ``most`` members are known that are as similar, so none below it can be among the nearest. Members of one tree are
+    different ones, those of several trees may not be, so ``tops`` is kept for one tree at a time."""
     struct = pa.struct([("distance", pa.float64()), ("neighbour", kind)])
     if not asked.num_rows or not members.num_rows:
         return pa.table({"qid": pa.array([], kind), "found": pa.array([], pa.list_(struct))})
@@ -161,9 +193,9 @@ def _nearest(asked: pa.Table, members: pa.Table, dims: int, most: int, kind: pa.
     first, held = ids.offsets.to_numpy()[:-1].astype(np.int64) - ids.offsets[0].as_py(), np.diff(ids.offsets.to_numpy()).astype(np.int64)
     leaf = members.column("leaf").to_numpy()
     by_leaf = np.argsort(leaf, kind="stable")
-    lists = asked.column("leaves").combine_chunks()
-    wanted = lists.flatten().to_numpy()
-    row = np.repeat(np.arange(len(q)), np.diff(lists.offsets.to_numpy()))
+    lists = _unpacked(asked.column("leaves"))
+    wanted = np.concatenate(lists)
+    row = np.repeat(np.arange(len(q)), [len(x) for x in lists])
     by_wanted = np.argsort(wanted, kind="stable")
     some, starts = np.unique(wanted[by_wanted], return_index=True)
     ends = np.append(starts[1:], len(wanted))
@@ -177,26 +209,43 @@ def _nearest(asked: pa.Table, members: pa.Table, dims: int, most: int, kind: pa.
         keep = np.arange(len(r)) - np.searchsorted(r, r) < n
         return r[keep], c[keep], d[keep]
 
-    parts = []
+    small_q, small_m, slack = q.astype(np.float32), m.astype(np.float32), np.float32(dims * 2.5e-7)  # of single precision, twice
+    least, tops, tree = np.full(len(q), -np.inf, np.float32), np.empty((len(q), most), np.float32), -1
+    parts, held_now = [], 0
     for number, a, b in zip(some.tolist(), starts.tolist(), ends.tolist()):
+        if number // leaves != tree:
+            tree = number // leaves
+            tops.fill(-np.inf)
         own = by_leaf[np.searchsorted(leaf[by_leaf], number) : np.searchsorted(leaf[by_leaf], number, "right")]
         rows = row[by_wanted[a:b]]
         for low in range(0, len(rows), 512):
             r = rows[low : low + 512]
             for at in range(0, len(own), 4096):
                 c = own[at : at + 4096]
-                s = q[r] @ m[c].T
-                if len(c) > most:
-                    # all that may be among the first once distances are rounded
-                    x, y = np.nonzero(s >= np.partition(s, len(c) - most, 1)[:, len(c) - most, None] - 10.0**-DIGITS)
-                else:
-                    x, y = (z.ravel() for z in np.indices(s.shape))
+                s = small_q[r] @ small_m[c].T
+                new = np.flatnonzero(np.isneginf(least[r]))
+                if len(new) and len(c) > most:
+                    least[r[new]] = np.partition(s[new], len(c) - most, 1)[:, len(c) - most]
+                x, y = np.divmod(np.flatnonzero(s >= (least[r] - slack)[:, None]), len(c))
+                if not len(x):
+                    continue
+                found = s[x, y]
+                order = np.lexsort((-found, x))
+                nth = np.arange(len(x)) - np.searchsorted(x, x)
+                which, at_ = np.unique(x, return_inverse=True)
+                wide = np.full((len(which), 2 * most), -np.inf, np.float32)
+                wide[:, :most] = tops[r[which]]
+                wide[at_[nth < most], most + nth[nth < most]] = found[order][nth < most]
+                tops[r[which]] = wide = np.partition(wide, most, 1)[:, most:]
+                least[r[which]] = np.maximum(least[r[which]], wide.min(1))
                 x, y = r[x], c[y]
-                parts.append(best(x, y, np.round(1.0 - np.einsum("kd,kd->k", q[x], m[y]), DIGITS)))
-        if sum(len(p[0]) for p in parts) > 2_000_000:
-            parts = [best(*(np.concatenate(z) for z in zip(*parts)))]
+                parts.append((x, y, np.round(1.0 - np.einsum("kd,kd->k", q[x], m[y]), DIGITS)))
+                held_now += len(x)
+                if held_now > 1_000_000:
+                    parts = [best(*(np.concatenate(z) for z in zip(*parts)))]
+                    held_now = 0
     if not parts:
-        return _nearest(asked.slice(0, 0), members, dims, most, kind)
+        return _nearest(asked.slice(0, 0), members, dims, most, kind, leaves)
     r, c, d = best(*(np.concatenate(z) for z in zip(*parts)))
     # a member stands for all its ids
     place = ragged(np.arange(len(code)), first[c], held[c])
@@ -227,9 +276,10 @@ def neighbours(
     rows, dims = clean(vectors, key, vector)
     id_type, v_type = (rows.schema[c].dataType.simpleString() for c in ("id", "v"))
     out = f"qid {id_type}, found array<struct<distance: double, neighbour: {id_type}>>"
-    nth = F.row_number().over(Window.partitionBy("v").orderBy("id"))
-    alike = rows.withColumn("nth", nth).where(F.col("nth") <= most).groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))  # most ids at most
-    members = cut(alike.select("ids", "v", F.xxhash64("v").alias("h")))
+    # both steps within the hash's partitions, as floating-point keys would be shuffled again for the second
+    nth = F.row_number().over(Window.partitionBy("h", "v").orderBy("id"))
+    alike = rows.withColumn("h", F.xxhash64("v")).repartition("h").withColumn("nth", nth).where(F.col("nth") <= most)  # most ids at most
+    members = cut(alike.groupBy("h", "v").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("ids", "v", "h"))
     total = members.count()
     depth = max(1, math.ceil(math.log2(max(total, 1) / leaf))) if total <= SAMPLE // PER_LEAF * leaf else int(math.log2(SAMPLE // PER_LEAF))
     some = F.pmod(F.xxhash64("ids"), F.lit(1 << 20)) < F.lit(min(1 << 20, math.ceil((1 << 20) * SAMPLE / max(total, 1))))
@@ -264,30 +314,47 @@ def neighbours(
     found = found.groupBy("which").agg(F.sum("n").alias("n"), F.slice(F.array_sort(F.collect_list("hit")), 1, k).alias("hits")).collect()  # leaves and PROBES rows at most
     sizes = np.zeros(leaves, np.int64)
     sizes[[r.which for r in found if r.which >= 0]] = [r.n for r in found if r.which >= 0]
-    needed = [1]
-    for r in found:
-        if r.which < 0:
-            order = np.argsort(forest.margins(forest.project(probes[[-1 - r.which]])[0]), kind="stable")
-            before = np.empty(leaves, np.int64)
-            before[order] = np.cumsum(sizes[order]) - sizes[order]
-            needed += [int(before[h.leaves].min()) + 1 for h in r.hits]
-    enough = max(most, int(np.quantile(needed, recall, method="higher")))
+    wanted = rows if queries is None else rows.where(queries(F.col("id")))
+    each, number, choices = forest.leaves, wanted.count(), []
+    for n in dict.fromkeys([*(2**i for i in range(trees.bit_length()) if 2**i <= trees), trees]):
+        some, needed, own = forest.first(n), [1], sizes[: n * each]
+        for r in found:
+            if r.which < 0:
+                order = np.argsort(some.margins(some.project(probes[[-1 - r.which]])[0]), kind="stable")
+                before = np.empty(n * each, np.int64)
+                before[order] = np.cumsum(own[order]) - own[order]
+                needed += [int(before[h.leaves[:n]].min()) + 1 for h in r.hits]
+        looked = max(most, int(np.quantile(needed, recall, method="higher")))
+        choices.append((number * looked + FILED * n * total, n, looked))
+    _, used, enough = min(choices)
+    forest, trees, sizes, leaves = forest.first(used), used, sizes[: used * each], used * each
+    shared = spark.sparkContext.broadcast((forest, probes))
 
     def ask(batches):
-        forest, own = shared.value[0], sizes.tolist()
+        forest, many = shared.value[0], 8 * enough > sizes.sum()
+        own = sizes if many else sizes.tolist()
         for b in batches:
             for low in range(0, b.num_rows, 1024):
                 part = b.slice(low, 1024)
-                lists = [forest.search(p, own, enough) for p in forest.project(_units(part.column(1), dims))]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lists, pa.list_(pa.int32()))], names=["qid", "v", "leaves"])
+                lists = [(forest.most if many else forest.search)(p, own, enough) for p in forest.project(_units(part.column(1), dims))]
+                lists = [_packed(x, leaves) for x in lists]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lists, pa.binary())], names=["qid", "v", "leaves"])
 
-    wanted = rows if queries is None else rows.where(queries(F.col("id")))
     alone = wanted.groupBy("v").agg(F.min("id").alias("qid"))
-    asked = cut(alone.select("qid", "v").mapInArrow(ask, f"qid {id_type}, v {v_type}, leaves array<int>"))
+    asked = cut(alone.select("qid", "v").mapInArrow(ask, f"qid {id_type}, v {v_type}, leaves binary"))
+
+    def visited(batches):
+        count = np.zeros(leaves, np.int64)
+        for b in batches:
+            for x in _unpacked(b.column(0)):
+                count[x] += 1
+        have = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(have.astype(np.int32)), pa.array(count[have])], names=["leaf", "n"])
+
     visits = np.zeros(leaves, np.int64)
-    for r in asked.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().collect():  # leaves at most
-        visits[r.leaf] = r["count"]
-    group, chunks, blocks = _places(sizes, visits)
+    for r in asked.select("leaves").mapInArrow(visited, "leaf int, n bigint").groupBy("leaf").agg(F.sum("n").alias("n")).collect():  # leaves at most
+        visits[r.leaf] = r.n
+    group, chunks, blocks = _places(sizes, visits, asked.count())
     names = ["grp", "chunk", "blk"]
 
     def file(batches):
@@ -308,10 +375,11 @@ def neighbours(
                     yield pa.RecordBatch.from_arrays([*numbers, b.column(0).take(take), b.column(1).take(take)], names=[*names, "leaf", "ids", "v"])
 
     def spread(batches):
-        for b in batches:
-            lists = b.column(2)
-            at = lists.flatten().to_numpy()
-            row = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
+        for b in (b.slice(low, 1024) for b in batches for low in range(0, b.num_rows, 1024)):
+            if not b.num_rows:
+                continue
+            lists = _unpacked(b.column(2))
+            at, row = np.concatenate(lists), np.repeat(np.arange(b.num_rows), [len(x) for x in lists])
             times = chunks[at]
             chunk = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
             row, at = np.repeat(row, times), np.repeat(at, times)
@@ -326,14 +394,14 @@ def neighbours(
                 some = new[low : low + 50_000]
                 take, own = pa.array(row[some]), bounds[low : low + len(some) + 1]
                 numbers = [pa.array(x.astype(np.int32)) for x in (group[at[some]], chunk[some], blk[low : low + 50_000])]
-                own_lists = pa.ListArray.from_arrays(pa.array(own - own[0]), pa.array(at[own[0] : own[-1]].astype(np.int32)))
+                own_lists = pa.array([_packed(at[i:j], leaves) for i, j in zip(own[:-1].tolist(), own[1:].tolist())], pa.binary())
                 yield pa.RecordBatch.from_arrays([*numbers, b.column(0).take(take), b.column(1).take(take), own_lists], names=[*names, "qid", "v", "leaves"])
 
     filed = members.mapInArrow(file, f"grp int, chunk int, blk int, leaf int, ids array<{id_type}>, v {v_type}")
-    sent = asked.select("qid", "v", "leaves", F.xxhash64("qid").alias("h")).mapInArrow(spread, f"grp int, chunk int, blk int, qid {id_type}, v {v_type}, leaves array<int>")
+    sent = asked.select("qid", "v", "leaves", F.xxhash64("qid").alias("h")).mapInArrow(spread, f"grp int, chunk int, blk int, qid {id_type}, v {v_type}, leaves binary")
 
     def rank(asked: pa.Table, members: pa.Table) -> pa.Table:
-        return _nearest(asked, members, dims, most, asked.schema.field("qid").type)
+        return _nearest(asked, members, dims, most, asked.schema.field("qid").type, each)
 
     near = sent.groupBy(*names).cogroup(filed.groupBy(*names)).applyInArrow(rank, out)
     merged = near.groupBy("qid").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, most).alias("found"))

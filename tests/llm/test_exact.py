@@ -525,6 +525,40 @@ def test_queue_order_is_that_of_the_margins():
         assert short == order[: len(short)] and sizes[short].sum() >= 100 > sizes[short[:-1]].sum()
 
 
+def test_a_query_is_sent_to_a_group_of_leaves_once():
+    # 4,096 leaves of 146 members, of which each of 30,000 queries visits some 60 %
+    members, visits = np.full(4096, 146), np.full(4096, 18_000)
+    group, chunks, blocks = ann._places(members, visits, 30_000)
+    assert group.max() + 1 <= 37 and set(chunks) == {1} and set(blocks) == {1}
+    assert np.bincount(group, members).max() <= 4 * ann.MEMBERS
+
+
+def test_sorting_leaves_and_the_queue_take_the_same():
+    x = np.random.default_rng(4).normal(size=(3_000, 16))
+    forest = ann.Forest.build(x, 2, 5)
+    sizes = np.bincount(forest.leaf(x).ravel(), minlength=2 * forest.leaves)
+    sizes[7] = 0
+    for p in forest.project(x[:20]):
+        for enough in (1, 500, 4_000, 10**9):
+            assert forest.most(p, sizes, enough).tolist() == forest.search(p, sizes.tolist(), enough)
+
+
+def test_the_least_that_a_query_must_look_at():
+    """Without structure the wanted neighbours are met within fewer members than there are; the greatest margin of eight trees took several times as many."""
+    n = 20_000
+    x = np.random.default_rng(6).normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    forest = ann.Forest.build(x, 1, 7)
+    leaf, sizes = forest.leaf(x)[:, 0], np.bincount(forest.leaf(x).ravel(), minlength=forest.leaves)
+    needed = []
+    for i in range(0, n, n // 40):
+        order = forest.most(forest.project(x[[i]])[0], sizes, 10**9)
+        before = np.zeros(forest.leaves, np.int64)
+        before[order] = np.cumsum(sizes[order]) - sizes[order]
+        needed += before[leaf[np.argsort(-(x @ x[i]))[1:11]]].tolist()
+    assert np.quantile(needed, 0.97) < 0.95 * n
+
+
 def test_equal_vectors_string_ids_chunks_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(ann, "MEMBERS", 40)
     monkeypatch.setattr(ann, "QUERIES", 30)
