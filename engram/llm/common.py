@@ -71,6 +71,22 @@ def slices(lengths: np.ndarray, most: int = SLICE_BYTES):
         at = to
 
 
+def frugal(run):
+    """``run`` for mapInArrow; at its end the worker, which goes on to other stages, gives back what Arrow keeps for no array."""
+
+    def own(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return own
+
+
+def portions(batch: pa.RecordBatch, text: int):
+    """``batch`` in pieces of about SLICE_BYTES of its column number ``text``, so that the engine holds one piece at once as it reads them."""
+    for at, to in slices(np.diff(buffers(batch.column(text))[0])):
+        yield batch.slice(at, to - at)
+
+
 def as_string(column: pa.Array) -> pa.Array:
     """One string array with 32-bit offsets from a (chunked) array of any string type."""
     if isinstance(column, pa.ChunkedArray):

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from engram.llm.common import pick
+from engram.llm.common import frugal, pick
 
 CAPACITIES = (2_048, 4_096, 8_192, 16_384)
 #: Cost of a bin of c: FIXED + c + SQUARE * c * c, a step's overhead and attention's growth with the length.
@@ -141,7 +141,7 @@ def pack(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, fixed: float
             if row:
                 yield out()
 
-    cut_up = own.withColumn("h", F.xxhash64("key", "text")).mapInArrow(pieces, f"key {kind}, part int, text string, salt int")
+    cut_up = own.withColumn("h", F.xxhash64("key", "text")).mapInArrow(frugal(pieces), f"key {kind}, part int, text string, salt int")
     # equal rows are alike but for their number within a partition, which is all that the salt depends on
     further = F.when(F.col("salt") > 0, F.spark_partition_id())
     cut_up = cut_up.withColumn("grp", F.pmod(F.xxhash64("key", "part", "text", "salt", further), F.lit(groups)).cast("int")).drop("salt")

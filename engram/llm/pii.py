@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from engram.llm.common import as_string, buffers, pick, place, positional, slices
+from engram.llm.common import as_string, buffers, frugal, pick, place, positional, slices
 
 KINDS = ("EMAIL", "PHONE", "IP", "CARD", "SSN", "IBAN")
 LABELS = ("O", *[f"{p}-{k}" for k in KINDS for p in "BI"])
@@ -563,4 +563,4 @@ def redact(docs: DataFrame, labelled: DataFrame | None = None, text: str = "text
                     part = pa.RecordBatch.from_arrays(arrays, schema=part.schema)
                 yield part
 
-    return own.mapInArrow(run, own.schema).toDF(*docs.columns)
+    return own.mapInArrow(frugal(run), own.schema).toDF(*docs.columns)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from engram.llm.common import as_string, buffers, cut, pick, place, positional, slices
+from engram.llm.common import as_string, buffers, cut, frugal, pick, place, portions, positional, slices
 
 GOOD, BAD, ABSTAIN = 1, 2, 0
 
@@ -191,7 +191,7 @@ def score(docs: DataFrame, rules: tuple[Rule, ...] = RULES, least: float = 0.5,
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_patterns(batch.column(1), rules))], names=["key", "q_pattern"])
 
-    own = cut(own.mapInArrow(run, T.StructType([own.schema["key"], T.StructField("q_pattern", T.LongType())])))
+    own = cut(own.mapInArrow(frugal(run), T.StructType([own.schema["key"], T.StructField("q_pattern", T.LongType())])))
     counted = sorted(own.groupBy("q_pattern").count().collect())  # bounded by the number of rules
     spelt = F.concat(*[F.element_at(F.array(F.lit("0"), F.lit("+"), F.lit("-")), (F.floor(F.col("q_pattern") / 3**i) % 3 + 1).cast("int")) for i in range(len(rules))])
     return own.join(_posteriors(docs.sparkSession, counted, len(rules)), "q_pattern").select(F.col("key").alias(key), spelt.alias("votes"), "quality", (F.col("quality") >= least).alias("keep"))
@@ -206,9 +206,10 @@ def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES, least: float = 0.5, t
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_patterns(batch.column(at), rules))], names=[*batch.schema.names, "q_pattern"])
+            for part in portions(batch, at):
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(_patterns(part.column(at), rules))], names=[*part.schema.names, "q_pattern"])
 
-    own = cut(own.mapInArrow(run, T.StructType([*own.schema, T.StructField("q_pattern", T.LongType())])))
+    own = cut(own.mapInArrow(frugal(run), T.StructType([*own.schema, T.StructField("q_pattern", T.LongType())])))
     counted = sorted(own.groupBy("q_pattern").count().collect())  # bounded by the number of rules
     kept = _posteriors(docs.sparkSession, counted, len(rules)).where(F.col("quality") >= least)
     return own.join(kept, "q_pattern", "left_semi").drop("q_pattern").toDF(*docs.columns)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from engram.llm.common import as_string, buffers, cut, pick, place, positional, slices
+from engram.llm.common import as_string, buffers, cut, frugal, pick, place, positional, slices
 
 SEGMENTS, WIDTH = 10, 28
 BITS = SEGMENTS * WIDTH
@@ -40,6 +40,8 @@ RADIUS, NEAR = 2 * SEGMENTS - 1, 48
 ARRANGEMENTS = 6
 #: Weight of a word against a pair of neighbouring words.
 WEIGHT = 8
+#: Runs of 255 features of one text at most whose bits are spread at once.
+RUNS = 256
 _WORD = re.compile(r"[^\W_]+")
 _POPULATION = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
 #: Each byte's bits, one in each byte of a 64-bit number, so that eight counters are added at once.
@@ -62,15 +64,23 @@ def _mixed(h: np.ndarray, turn: int) -> np.ndarray:
 
 def _votes(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """(texts, BITS): how many of each text's features have the bit. ``h``: the texts' features one after another, ``counts`` (1 at least)
-    how many each has."""
-    raw = np.stack([_mixed(h, k + 1) for k in range(-(-BITS // 64))], 1).astype("<u8").view(np.uint8)[:, :BYTES]
+    how many each has. Some 64,000 features have their bits spread at once, however many a text has."""
     ends = np.cumsum(counts)
     # runs of 255 features of one text at most, so that no counter of 8 bits overflows
     runs = -(-counts // 255)
     first = np.cumsum(runs) - runs
     starts = np.repeat(ends - counts, runs) + 255 * (np.arange(runs.sum()) - np.repeat(first, runs))
-    sums = np.add.reduceat(_SPREAD[raw], starts, axis=0).view(np.uint8)
-    return np.add.reduceat(sums, first, axis=0, dtype=np.int32)
+    stops = np.append(starts[1:], len(h))
+    votes = np.zeros((len(counts), BITS), np.int32)
+    own = np.repeat(np.arange(len(counts)), runs)
+    for at in range(0, len(starts), RUNS):
+        to = min(at + RUNS, len(starts))
+        part = h[starts[at] : stops[to - 1]]
+        raw = np.stack([_mixed(part, k + 1) for k in range(-(-BITS // 64))], 1).astype("<u8").view(np.uint8)[:, :BYTES]
+        sums = np.add.reduceat(_SPREAD[raw], starts[at:to] - starts[at], axis=0).view(np.uint8)
+        begin = np.flatnonzero(np.concatenate([[True], own[at + 1 : to] != own[at : to - 1]]))
+        votes[own[at:to][begin]] += np.add.reduceat(sums, begin, axis=0, dtype=np.int32)
+    return votes
 
 
 def _signed(features: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -122,10 +132,42 @@ def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 ORDERS = np.stack([np.arange(BITS), *[np.argsort(_mixed(np.arange(BITS, dtype=np.uint64), k)) for k in range(1, ARRANGEMENTS)]])
 
 
+#: Signatures whose bits are spread at once, a byte for each.
+ROWS = 8_192
+
+
+def segment(sigs: np.ndarray, k: int) -> np.ndarray:
+    """Segment ``k`` of ARRANGEMENTS x SEGMENTS, a number of WIDTH bits, of each signature."""
+    order = ORDERS.ravel()[k * WIDTH : (k + 1) * WIDTH]
+    out = np.empty(len(sigs), np.uint32)
+    for at in range(0, len(sigs), ROWS):
+        own = sigs[at : at + ROWS]
+        bits = np.zeros((len(own), 32), np.uint8)
+        bits[:, 32 - WIDTH :] = (own[:, order >> 3] >> (7 - (order & 7)).astype(np.uint8)) & 1
+        out[at : at + ROWS] = np.packbits(bits, axis=1).view(">u4").ravel()
+    return out
+
+
 def segments(sigs: np.ndarray) -> np.ndarray:
     """(n, ARRANGEMENTS x SEGMENTS) numbers of WIDTH bits."""
-    bits = np.unpackbits(sigs, axis=1)[:, ORDERS.ravel()].reshape(len(sigs), ARRANGEMENTS * SEGMENTS, WIDTH)
-    return bits @ (1 << np.arange(WIDTH - 1, -1, -1, dtype=np.int64))
+    return np.stack([segment(sigs, k) for k in range(ARRANGEMENTS * SEGMENTS)], 1).astype(np.int64)
+
+
+def segments_at(sigs: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Of each signature the segment ``which`` says."""
+    out = np.empty(len(sigs), np.int64)
+    order = np.argsort(which, kind="stable")
+    ends = np.cumsum(np.bincount(which, minlength=ARRANGEMENTS * SEGMENTS))
+    for k, (at, to) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())):
+        if at < to:
+            out[order[at:to]] = segment(sigs[order[at:to]], k)
+    return out
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """(n, BYTES) of a column of signatures without nulls."""
+    column = column.cast(pa.binary(BYTES))
+    return np.frombuffer(column.buffers()[1], np.uint8, len(column) * BYTES, column.offset * BYTES).reshape(-1, BYTES)
 
 
 def _forest(rows: np.ndarray, sigs: np.ndarray, near: int, out: list) -> None:
@@ -222,7 +264,7 @@ def signed(docs: DataFrame, key: str, text: str) -> DataFrame:
                 have = pa.array([at + i for i, s in enumerate(sigs) if s], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(have), batch.column(1).take(have), pa.array([s for s in sigs if s], pa.binary())], names=["key", "hash", "sig"])
 
-    return own.mapInArrow(run, T.StructType([T.StructField("key", own.schema["key"].dataType), T.StructField("hash", T.LongType()), T.StructField("sig", T.BinaryType())]))
+    return own.mapInArrow(frugal(run), T.StructType([T.StructField("key", own.schema["key"].dataType), T.StructField("hash", T.LongType()), T.StructField("sig", T.BinaryType())]))
 
 
 def node_of(sig: Column) -> Column:
@@ -238,18 +280,17 @@ def edges(nodes: DataFrame, near: int = NEAR) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sigs = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, BYTES)
-            segs = segments(sigs)
+            sigs = _matrix(batch.column(0))
             for k in range(each):
+                own = segment(sigs, k).astype(np.int64)
                 for which in (0, 1):  # 0: the upper half is whole
-                    part = segs[:, k] >> HALF if which == 0 else segs[:, k] & ((1 << HALF) - 1)
+                    part = own >> HALF if which == 0 else own & ((1 << HALF) - 1)
                     yield pa.RecordBatch.from_arrays([pa.array((part * each + k) << 1 | which), batch.column(0)], names=["half", "sig"])
 
     def joined(rows: pa.Table):
         half, column = rows.column(0).to_numpy(), rows.column(1).combine_chunks()
-        sigs = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BYTES)
-        bits = np.unpackbits(sigs, axis=1)[np.arange(len(half))[:, None], ORDERS.reshape(each, WIDTH)[(half >> 1) % each]]
-        found = join_variants(half, bits @ (1 << np.arange(WIDTH - 1, -1, -1, dtype=np.int64)), sigs, near)
+        sigs = _matrix(column)
+        found = join_variants(half, segments_at(sigs, (half >> 1) % each), sigs, near)
         if len(found):
             yield pa.RecordBatch.from_arrays([column.take(pa.array(found[:, 0])), column.take(pa.array(found[:, 1]))], names=["a", "b"])
 
@@ -270,8 +311,8 @@ def edges(nodes: DataFrame, near: int = NEAR) -> DataFrame:
         if held:
             yield from joined(pa.Table.from_batches(held))
 
-    spread = nodes.select("sig").mapInArrow(halves, "half bigint, sig binary")
-    close = spread.repartition("half").sortWithinPartitions("half").mapInArrow(pairs, "a binary, b binary").where("a != b")
+    spread = nodes.select("sig").mapInArrow(frugal(halves), "half bigint, sig binary")
+    close = spread.repartition("half").sortWithinPartitions("half").mapInArrow(frugal(pairs), "a binary, b binary").where("a != b")
     a, b = node_of(F.col("a")), node_of(F.col("b"))
     return close.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct()
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from engram.llm.common import as_string, buffers, cut, pick, place, positional, slices
+from engram.llm.common import as_string, buffers, cut, frugal, pick, place, portions, positional, slices
 
 #: Labelled documents that are read to learn stems and the threshold, half of each class at most.
 LABELLED = 4_000
@@ -294,7 +294,7 @@ def learned(docs: DataFrame, labels: DataFrame | None, most: int = LABELLED) ->
             least = [_Copies.least(_words(t)).tobytes() for _, t in _each(b.column(3))]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(least, pa.binary())], names=["doc_id", "name", "toxic", "least"])
 
-    hashed = texts.mapInArrow(hashes, T.StructType([*texts.schema[:3], T.StructField("least", T.BinaryType())]))
+    hashed = texts.mapInArrow(frugal(hashes), T.StructType([*texts.schema[:3], T.StructField("least", T.BinaryType())]))
     rows = sorted(hashed.collect(), key=lambda r: r.doc_id)  # most rows at most
     if len({r.toxic for r in rows}) < 2:
         return GENERAL
@@ -332,7 +332,7 @@ def learned(docs: DataFrame, labels: DataFrame | None, most: int = LABELLED) ->
         yield from counted()
 
     held = [F.coalesce(F.sum(F.when(F.col("which") == i, F.col("n"))), F.lit(0)).alias(f"n{i}") for i in range(4)]
-    found = texts.mapInArrow(beginnings, "start string, which int, n bigint").groupBy("start").agg(*held)
+    found = texts.mapInArrow(frugal(beginnings), "start string, which int, n bigint").groupBy("start").agg(*held)
     (c0, t0), (c1, t1) = (e.number for e in evidence)
     n = [F.col(f"n{i}") for i in range(4)]
     found = found.where(_promising(n[1], n[0], t0, c0) | _promising(n[3], n[2], t1, c1) | _promising(n[1] + n[3], n[0] + n[2], t0 + t1, c0 + c1))
@@ -349,7 +349,7 @@ def learned(docs: DataFrame, labels: DataFrame | None, most: int = LABELLED) ->
             points = [(matchers[where[names[i]]].score(t)[0], i) for i, t in _each(b.column(3)) if names[i] in where]
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in points], pa.float64()), b.column(2).take(pa.array([i for _, i in points], pa.int64()))], names=["score", "toxic"])
 
-    points = [tuple(r) for r in texts.mapInArrow(scores, "score double, toxic int").collect()]  # most rows at most
+    points = [tuple(r) for r in texts.mapInArrow(frugal(scores), "score double, toxic int").collect()]  # most rows at most
     threshold = _threshold(points, GENERAL, shared.seen, (shares.get(0, 0), shares.get(1, 0)), ALARMS)
     return replace(GENERAL, stems=(evidence[0] + evidence[1]).stems(*how), threshold=threshold)
 
@@ -390,7 +390,7 @@ def flag(docs: DataFrame, lexicon: Lexicon = GENERAL, key: str = "doc_id", text:
             rows = [r for r in _scores(batch.column(1), lexicon) if r[1] >= lexicon.threshold and r[2]]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.int32()), pa.array([True] * len(rows), pa.bool_())], names=["key", "score", "hits", "words", "toxic"])
 
-    return own.mapInArrow(run, f"key {own.schema['key'].dataType.simpleString()}, score double, hits int, words int, toxic boolean").withColumnRenamed("key", key)
+    return own.mapInArrow(frugal(run), f"key {own.schema['key'].dataType.simpleString()}, score double, hits int, words int, toxic boolean").withColumnRenamed("key", key)
 
 
 def drop(docs: DataFrame, lexicon: Lexicon = GENERAL, text: str = "text") -> DataFrame:
@@ -400,7 +400,8 @@ def drop(docs: DataFrame, lexicon: Lexicon = GENERAL, text: str = "text") -> Dat
 
     def run(batches):
         for batch in batches:
-            keep = [not (s >= lexicon.threshold and h) for _, s, h, _ in _scores(batch.column(at), lexicon)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            for part in portions(batch, at):
+                keep = [not (s >= lexicon.threshold and h) for _, s, h, _ in _scores(part.column(at), lexicon)]
+                yield part.filter(pa.array(keep, pa.bool_()))
 
-    return own.mapInArrow(run, own.schema).toDF(*docs.columns)
+    return own.mapInArrow(frugal(run), own.schema).toDF(*docs.columns)

@@ -675,6 +675,52 @@ def test_near_duplicates_are_found_without_regard_to_variants(spark):
     assert [found.count(far) / 300 >= least for far, least in ((28, 0.99), (33, 0.99), (38, 0.98), (43, 0.92), (simhash.NEAR, 0.78))] == [True] * 5
 
 
+def test_signatures_and_segments_take_bounded_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(7)
+    sigs = rng.integers(0, 256, (10_000, simhash.BYTES), dtype=np.uint8)
+    long = " ".join(f"w{x}" for x in rng.integers(0, 10**6, 200_000))
+    simhash.segments(sigs[:1])
+    for run, most in ((lambda: simhash.segments(sigs), 30e6), (lambda: simhash._votes(np.arange(400_000, dtype=np.uint64), np.array([400_000])), 50e6)):
+        tracemalloc.start()
+        run()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < most
+    bits = np.unpackbits(sigs[:50], axis=1)[:, simhash.ORDERS.ravel()].reshape(50, -1, simhash.WIDTH)
+    want = bits @ (1 << np.arange(simhash.WIDTH - 1, -1, -1, dtype=np.int64))
+    assert (simhash.segments(sigs[:50]) == want).all()
+    which = rng.integers(0, want.shape[1], 50)
+    assert (simhash.segments_at(sigs[:50], which) == want[np.arange(50), which]).all()
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, set(long.split())), np.uint64)
+    counts = np.array([1, 255, 256, 70_000, len(h) - 70_512])
+    apart = [simhash._votes(x, np.array([len(x)]))[0] for x in np.split(h, np.cumsum(counts)[:-1])]
+    assert (simhash._votes(h, counts) == apart).all()
+    raw = np.stack([simhash._mixed(h[512:70_512], k + 1) for k in range(5)], 1).astype("<u8").view(np.uint8)[:, : simhash.BYTES]
+    assert (np.unpackbits(raw, axis=1).sum(0) == apart[3]).all()
+
+
+def test_stages_give_texts_back_in_pieces(spark, monkeypatch):
+    d = spark.createDataFrame([(i, "some plain words of a text. " * 40_000) for i in range(12)] + [(12, None), (13, "")], "doc_id bigint, text string").coalesce(1)
+    held = []
+
+    class Rows:  # takes the place of a table: gives the function of the stage one batch
+        schema, columns = d.schema, d.columns
+
+        def mapInArrow(self, run, schema):
+            held.extend(b.nbytes for b in run(iter(d.toArrow().combine_chunks().to_batches())))
+            raise StopIteration
+
+    for stage in (quality.keep, toxicity.drop):
+        held.clear()
+        monkeypatch.setattr(quality, "positional", lambda _: Rows())
+        monkeypatch.setattr(toxicity, "positional", lambda _: Rows())
+        with pytest.raises(StopIteration):
+            stage(d)
+        assert sum(held) > 13e6 and max(held) < 6e6
+
+
 def test_edited_copies_are_near_duplicates(spark):
     rng = random.Random(6)
     words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(5000)]
