@@ -12,14 +12,27 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at once, whatever the size of an Arrow batch.
 SLICE_BYTES = 4 << 20
+#: Most rows that the Parquet reader decodes at once, and most bytes of an Arrow batch: long texts by the thousand don't fit an executor.
+READ_ROWS, BATCH_BYTES = 128, 16 << 20
+
+
+def bounded(spark: SparkSession) -> None:
+    """Lowers what the engine decodes and sends to Python at once to READ_ROWS and BATCH_BYTES; what is lower stays. Spark's own 4,096 rows of
+    200,000 characters are 0.8 GB in each task."""
+    for name, most in (("spark.sql.parquet.columnarReaderBatchSize", READ_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = int(str(spark.conf.get(name)).rstrip("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(name, str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def positional(df: DataFrame) -> DataFrame:
-    """``df`` with columns ``_0, _1, ...``: no name of the caller's can clash with ours."""
+    """``df`` with columns ``_0, _1, ...``: no name of the caller's can clash with ours. Texts come in bounded batches from here on."""
+    bounded(df.sparkSession)
     return df.toDF(*[f"_{i}" for i in range(len(df.columns))])
 
 

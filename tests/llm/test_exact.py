@@ -402,6 +402,27 @@ def test_labelled_texts_are_longer_than_the_driver_can_hold(spark):
     assert any("nastiword".startswith(s.replace("y", "i")) for s, _ in lexicon.stems)
 
 
+def test_long_texts_are_read_in_bounded_batches(spark, tmp_path):
+    from engram.llm import common
+
+    before = {k: spark.conf.get(k) for k in ("spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxBytesPerBatch")}
+    try:
+        spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "4096")
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
+        path = f"{tmp_path}/long.parquet"
+        spark.range(0, 600, 1, 1).selectExpr("id AS doc_id", "repeat(concat(id, ' word '), 20000) AS text").write.parquet(path)
+        own = common.pick(spark.read.parquet(path), "text")
+        size = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches)
+        assert max(r.n for r in own.mapInArrow(size, "n bigint").collect()) <= common.BATCH_BYTES + (1 << 20)
+        assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) == common.READ_ROWS
+        spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "64")  # lower ones stay
+        common.pick(spark.read.parquet(path), "text")
+        assert spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == "64"
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_learned_lexicon_on_held_out_labels(spark, sf_dir, docs):
     import duckdb
 
