@@ -159,6 +159,16 @@ def test_ngrams_cross_entries(spark):
     assert got == {"green", "house", "green house"}
 
 
+def test_terms_of_a_session_are_counted_within_its_row(spark):
+    own = spark.createDataFrame([("s", ["b", "a", "b", "a", "b"]), ("t", ["x"]), ("none", []), ("null", None)], "session string, tokens array<string>")
+    got = recurrence.session_terms(own)
+    want = {("s", "a", 2), ("s", "b", 3), ("s", "b a", 2), ("s", "a b", 2), ("s", "b a b", 2), ("s", "a b a", 1), ("t", "x", 1)}
+    rows = [tuple(r) for r in got.collect()]
+    assert set(rows) == want and len(rows) == len(want)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Exchange" not in plan  # a table of all terms of a task's sessions
+
+
 def test_passages(spark):
     body = " ".join(f"S{i} has{' Fox' if i in (1, 2, 12) else ''} it." for i in range(14))
     e = spark.createDataFrame([("1", body), ("2", "Foxes run."), ("3", "Foxes run."), ("4", "nothing")], "entry_id string, content string")
