@@ -296,3 +296,22 @@ def test_newest(spark, most):
     rows = [(i, rng.choice([5, 5, 6, rng.randint(-200_000, 400_000)])) for i in range(50)]
     got = {r.id for r in retention.newest(spark.createDataFrame(rows, "id int, timestamp bigint"), most).collect()}
     assert got == {i for i, _ in sorted(rows, key=lambda r: (-r[1], -r[0]))[:most]}
+
+
+def test_python_takes_batches_in_bounded_pieces():
+    import pyarrow as pa
+
+    rows = 2_000
+    own = pa.RecordBatch.from_arrays([pa.array(range(rows)), pa.array(["s"] * rows), pa.array([[f"w{i % 7}", "x", "x"] * 400 for i in range(rows)])], names=["id", "scope", "ts"])
+    parts = list(search._count_terms([own]))
+    assert len(parts) >= rows * 1_200 // search.ITEMS_AT_ONCE and sum(p.num_rows for p in parts) == rows
+    assert [r for p in parts for r in p.column(2).to_pylist()] == [1_200] * rows
+    assert all(dict(zip(t, n)) == {f"w{i % 7}": 400, "x": 800} for p in parts for i, t, n in zip(p.column(0).to_pylist(), p.column(3).to_pylist(), p.column(4).to_pylist()))
+
+
+def test_long_phrases_are_spread_over_several_automata(spark):
+    docs = spark.createDataFrame([("a", "one two three four"), ("b", "three"), ("c", None)], "item string, text string")
+    phrases = spark.createDataFrame([(1, "one two"), (2, "three"), (3, "four five"), (4, "")], "phrase_id int, phrase string")
+    got = passages.phrase_hits(docs, phrases, chars=6)
+    assert sorted(tuple(r) for r in got.collect()) == [("a", 1), ("a", 2), ("b", 2)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") > 1
