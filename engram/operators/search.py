@@ -225,8 +225,8 @@ def lexical(entries: DataFrame, queries: DataFrame, k: int = scoring.CANDIDATES,
 #: Up to so many queries go to the workers as a matrix; more of them meet the entries block by block.
 SHARED_QUERIES = 4_096
 BLOCK = 32_768
-#: Numbers of a block of weights or of distances that are held at once.
-CELLS, DISTANCES = 4_000_000, 2_000_000
+#: Numbers of a block of weights or of distances that are held at once; pairs whose exact distances are.
+CELLS, DISTANCES, EXACT = 4_000_000, 2_000_000, 16_384
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -237,6 +237,23 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.cumsum(sizes) - sizes, sizes
 
 
+def _near(unit: np.ndarray, asked: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, distance) that hold the ``k`` nearest of the ``unit`` vectors (``k`` at least) of each of ``asked``, and a few more. All pairs
+    are compared in single precision, whose error is bounded; distances of those that may count are in double precision."""
+    n, dims = unit.shape
+    margin = np.float32(2 * (dims + 4) * 2.0**-24 + 2e-7)
+    sim = asked.astype(np.float32) @ unit.astype(np.float32).T
+    size = n // (8 * k)
+    # the k-th of the maxima of groups of rows is no more than the k-th of all
+    most = sim[:, : n // size * size].reshape(len(asked), -1, size).max(2) if size > 1 else sim
+    cut = np.partition(most, most.shape[1] - k, 1)[:, most.shape[1] - k]
+    r, c = np.nonzero(sim >= (cut - margin)[:, None])
+    d = np.empty(len(r))
+    for at in range(0, len(r), EXACT):
+        d[at : at + EXACT] = np.einsum("ij,ij->i", asked[r[at : at + EXACT]], unit[c[at : at + EXACT]])
+    return r, c, np.round(1 - d, 9)
+
+
 def nearest(ids: pa.Array, vectors: pa.Array, query_ids: pa.Array, queries: pa.Array, k: int) -> pa.RecordBatch:
     """(query_id, id, distance) of the ``k`` nearest vectors of each query, by cosine distance rounded to 9 places, then id. A distance to a
     vector of another size, of length 0 or with nulls is null and comes last."""
@@ -258,8 +275,22 @@ def nearest(ids: pa.Array, vectors: pa.Array, query_ids: pa.Array, queries: pa.A
             with np.errstate(all="ignore"):
                 unit.append(m / np.where(norm > 0, norm, np.nan)[:, None])
         step = max(1, DISTANCES // max(n, 1))
+        sound = np.flatnonzero(np.isfinite(unit[0]).all(1))
+        quick = len(sound) >= k > 0 and np.isfinite(unit[1]).all()
+        if quick and len(sound) < len(rows):
+            unit[0], rows = unit[0][sound], rows[sound]
         for low in range(0, len(asked), step):
             part = asked[low : low + step]
+            if quick:
+                r, c, d = _near(unit[0], unit[1][low : low + step], k)
+                c = rows[c]
+                order = np.lexsort((by_id[c], d, r))
+                r, c, d = r[order], c[order], d[order]
+                keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+                out_q.append(part[r[keep]])
+                out_i.append(c[keep])
+                out_d.append(d[keep])
+                continue
             dist = np.full((len(part), n), np.inf)
             d = np.round(1 - unit[1][low : low + step] @ unit[0].T, 9)
             dist[:, rows] = np.where(np.isfinite(d), d, np.inf)

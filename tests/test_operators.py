@@ -315,3 +315,21 @@ def test_long_phrases_are_spread_over_several_automata(spark):
     got = passages.phrase_hits(docs, phrases, chars=6)
     assert sorted(tuple(r) for r in got.collect()) == [("a", 1), ("a", 2), ("b", 2)]
     assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") > 1
+
+
+def test_single_precision_finds_the_nearest_with_their_ties():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(3_000, 16))
+    x[100:180], x[200:260] = x[7], x[8] * (1 + 1e-7)  # more equal ones than are asked for; equal but for the ninth place
+    unit = x / np.sqrt((x * x).sum(1))[:, None]
+    ids = pa.array([f"{i:05}" for i in range(3_000)])[::-1]
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, 16, dtype=np.int32)), pa.array(x.ravel()))
+    got = search.nearest(ids, lists, ids.slice(0, 60), lists.slice(0, 60), 20)
+    names, dist = np.array(ids.to_pylist()), np.round(1 - unit[:60] @ unit.T, 9)
+    want = [(names[q], names[i], dist[q, i]) for q in range(60) for i in np.lexsort((names, dist[q]))[:20]]
+    assert list(zip(*(c.to_pylist() for c in got.columns))) == want
+    r, c, _ = search._near(unit, unit[:60], 20)
+    assert len(r) < 60 * 400  # few of 3,000 are compared in double precision
