@@ -333,3 +333,21 @@ def test_single_precision_finds_the_nearest_with_their_ties():
     assert list(zip(*(c.to_pylist() for c in got.columns))) == want
     r, c, _ = search._near(unit, unit[:60], 20)
     assert len(r) < 60 * 400  # few of 3,000 are compared in double precision
+
+
+def test_many_terms_are_not_collected_as_rows(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    e = spark.createDataFrame([("a", "Deploy the x9 now. Nothing here.\nWe deployed on Friday!"), ("b", "so be it")], "entry_id string, content string")
+    terms = spark.createDataFrame([("deploy",), ("Deploy",), ("on friday",), ("x",), ("here",), ("zz",), ("",), (None,)], "term string")
+    collect = DataFrame.collect
+
+    def few(self):
+        rows = collect(self)
+        assert len(rows) < 3 or "terms" in self.columns  # results, not the terms
+        return rows
+
+    monkeypatch.setattr(DataFrame, "collect", few)
+    got = {how: sorted((r.entry_id, r.n, r.pos, tuple(r.terms)) for r in passages.sentence_hits(e, terms, **how_).collect()) for how, how_ in (("one", {}), ("terms", {"most": 2}), ("chars", {"chars": 8}))}
+    assert got["one"] == [("a", 3, 0, ("Deploy", "deploy", "x")), ("a", 3, 1, ("here",)), ("a", 3, 2, ("Deploy", "deploy", "on friday"))]
+    assert got["terms"] == got["one"] == got["chars"]
