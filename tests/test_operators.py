@@ -351,3 +351,12 @@ def test_many_terms_are_not_collected_as_rows(spark, monkeypatch):
     got = {how: sorted((r.entry_id, r.n, r.pos, tuple(r.terms)) for r in passages.sentence_hits(e, terms, **how_).collect()) for how, how_ in (("one", {}), ("terms", {"most": 2}), ("chars", {"chars": 8}))}
     assert got["one"] == [("a", 3, 0, ("Deploy", "deploy", "x")), ("a", 3, 1, ("here",)), ("a", 3, 2, ("Deploy", "deploy", "on friday"))]
     assert got["terms"] == got["one"] == got["chars"]
+
+
+def test_repeated_pairs_keep_hashes_of_word_pairs_only(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(classify, "checkpointed", lambda df: kept.append(df) or df)
+    own = spark.createDataFrame([(1, "confirmed the plan is good to go"), (2, "confirmed: the plan is good to go now"), (3, "confirmed something else")], "ord int, text string")
+    assert [tuple(r) for r in classify.repeated_pairs(own).collect()] == [(1, 2)]
+    strings = [(c, t) for df in kept for c, t in df.dtypes if "string" in t and c != "said"]
+    assert strings == []
